@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenaria.llm import names, nearest, tokens, truncation
+from plenaria.llm import mixing, names, nearest, tokens, truncation, turns
 from plenaria.plans.problems import SQL as CORE_SQL
 from plenaria.runtime import table
 
@@ -17,6 +17,19 @@ def p1_unmatched(spark: SparkSession, root: str) -> DataFrame:
     return names.unmatched(p1_found(spark, root))
 
 
+def _transcripts(spark: SparkSession, root: str) -> tuple[DataFrame, tuple]:
+    return table(spark, root, "speeches"), turns.people_of(*(table(spark, root, t) for t in ("persoon", "fractiezetelpersoon", "fractie")))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return turns.found(*(table(spark, root, t) for t in ("speeches", "persoon", "fractiezetelpersoon", "fractie")))
+
+
+def p2_segments(spark: SparkSession, root: str) -> DataFrame:
+    """The clean text, segment by segment in order, with its speaker as far as the chunk tells."""
+    return turns.ordered_segments(*_transcripts(spark, root)).drop("speech_id")
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return nearest.found(table(spark, root, "speeches"), table(spark, root, "activiteit"))
 
@@ -25,6 +38,14 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode(table(spark, root, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
 
 
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mengdoelen"))[0]
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.shares(table(spark, root, "documents"), table(spark, root, "mengdoelen"))
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return truncation.found(table(spark, root, "documents"))
 
@@ -36,8 +57,12 @@ def p10_rates(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_unmatched": p1_unmatched,
+    "p2_found": p2_found,
+    "p2_segments": p2_segments,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }
