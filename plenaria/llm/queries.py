@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenaria.llm import mixing, names, nearest, tokens, truncation, turns
+from plenaria.llm import linkage, mixing, names, nearest, tokens, truncation, turns
 from plenaria.plans.problems import SQL as CORE_SQL
 from plenaria.runtime import table
 
@@ -30,6 +30,15 @@ def p2_segments(spark: SparkSession, root: str) -> DataFrame:
     return turns.ordered_segments(*_transcripts(spark, root)).drop("speech_id")
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return linkage.found(table(spark, root, "speech_vote_pairs"), table(spark, root, "zaak"))
+
+
+def p5_links(spark: SparkSession, root: str) -> DataFrame:
+    """With the confidence."""
+    return linkage.link(table(spark, root, "speech_vote_pairs"), table(spark, root, "zaak"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return nearest.found(table(spark, root, "speeches"), table(spark, root, "activiteit"))
 
@@ -59,6 +68,8 @@ QUERIES = {
     "p1_unmatched": p1_unmatched,
     "p2_found": p2_found,
     "p2_segments": p2_segments,
+    "p5_found": p5_found,
+    "p5_links": p5_links,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
