@@ -54,3 +54,25 @@ def carry(
     return joined.select(
         *df.columns, *[F.coalesce(f"__n_{o}", f"__f_{o}").alias(o) for o in columns]
     )
+
+
+def index(df: DataFrame, keys: list[str], bucket: str, order: list[str], out: str, total: str | None = None) -> DataFrame:
+    """Adds the place of a row within its key, from 0, and in ``total`` the rows of the key.
+
+    Rows are numbered within (key, bucket); the numbers of rows in earlier buckets come from the
+    bucket summary. Null keys form a key of their own.
+    """
+    far = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(*keys, bucket).agg(F.count("*").alias("__n"))
+    sizes = sizes.select(
+        *[F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)],
+        F.col(bucket).alias("__k_b"),
+        F.coalesce(F.sum("__n").over(far), F.lit(0)).alias("__before"),
+        F.sum("__n").over(Window.partitionBy(*keys)).alias("__total"),
+    )
+    here = df.withColumn("__i", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)) - 1)
+    same: Column = F.col(bucket).eqNullSafe(F.col("__k_b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{i}"))
+    more = [F.col("__total").alias(total)] if total else []
+    return here.join(sizes, same, "left").select(*df.columns, (F.col("__before") + F.col("__i")).alias(out), *more)
