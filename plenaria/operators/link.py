@@ -15,6 +15,7 @@ from plenaria.functions.ordered import index
 from plenaria.functions.text import joined, overlap, topic_tokens
 from plenaria.operators.clean import mentions
 from plenaria.operators.dedup import keep_by, keep_longest
+from plenaria.runtime import cut
 
 VOTE = ["Soort", "FractieGrootte", "Persoon_Id", "ActorFractie", "Vergissing"]
 
@@ -111,7 +112,7 @@ def link(speeches: DataFrame, activities: DataFrame, agenda: DataFrame, decision
     Speeches need ``order`` (unique) and ``day``; votes ``vote_order``. Speeches of unknown persons
     share one row a decision. The longest speech wins whatever its quality.
     """
-    decided = decided_on(activities, agenda, decisions, votes)
+    decided = cut(decided_on(activities, agenda, decisions, votes))  # one row a decision, used three times
     slim = speeches.select("persoon_id", "fractie", "activiteit_id", "activiteit_onderwerp", "activiteithoofd_onderwerp", day, order, F.length("speech_text").alias("speech_length"))
     keep = ["persoon_id", "fractie", "activiteit_id", order, "speech_length", "besluit_id", "link_quality"]
     first = by_activity(slim, decided).select(*keep)

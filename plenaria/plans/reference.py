@@ -244,9 +244,9 @@ def active_parties(t):
     return clean.active(t("fractie"), "DatumInactief", "AantalZetels").select("snapshot_id", "Afkorting", "AantalZetels")
 
 
-@query("SELECT DISTINCT pair_id, fractie, vote, datum FROM speech_vote_pairs WHERE fractie = 'CLD' AND vote = 'Voor' AND year(TRY_CAST(datum AS DATE)) = 2015 AND regexp_matches(speech_text, '(?i)minister|budget|regering')")
+@query("SELECT DISTINCT pair_id, fractie, vote, datum FROM speech_vote_pairs WHERE fractie = 'JongNu' AND vote = 'Voor' AND regexp_matches(speech_text, '(?i)minister|budget|regering')")
 def explorer(t):
-    return clean.explore(t("speech_vote_pairs"), "CLD", "Voor", 2015, "minister|budget|regering").select("pair_id", "fractie", "vote", "datum").distinct()
+    return clean.explore(t("speech_vote_pairs"), "JongNu", "Voor", None, "minister|budget|regering").select("pair_id", "fractie", "vote", "datum").distinct()
 
 
 @query("SELECT activiteit_soort, count(*) AS n FROM speech_vote_pairs WHERE coalesce(lower(activiteit_soort) LIKE '%stemming%', false) GROUP BY 1")
