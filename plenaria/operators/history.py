@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenaria.functions.ordered import carry
+from plenaria.runtime import cut
 
 #: Width of a bucket of one entity's snapshots; a task holds one entity's snapshots of this span.
 BUCKET_US = 30 * 86_400_000_000
@@ -66,7 +67,7 @@ def versions(log: DataFrame, attributes: list[str], bucket_us: int = BUCKET_US)
     full = full.select("entity", "from_us", "bucket", F.struct(*[F.col(f"__s_{a}")["v"].alias(a) for a in attributes]).alias("state"))
     full = carry(full, ["entity"], "bucket", ["from_us"], {"before": "state"}, inclusive=False)
     starts = full.where(F.col("before").isNull() | ~F.col("before").eqNullSafe(F.col("state")))
-    ends = carry(starts, ["entity"], "bucket", ["from_us"], {"tot_us": "from_us"}, forward=False, inclusive=False)
+    ends = carry(cut(starts), ["entity"], "bucket", ["from_us"], {"tot_us": "from_us"}, forward=False, inclusive=False)
     return ends.select("entity", F.col("from_us").alias("van_us"), "tot_us", *[F.col("state")[a].alias(a) for a in attributes])
 
 
@@ -80,7 +81,7 @@ def party_versions(fractie: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     rows = fractie.where(F.col("Id").isNotNull() & F.col("ApiGewijzigdOp").isNotNull()).withColumn("__at", F.unix_micros("ApiGewijzigdOp"))
     rows = rows.select("Id", "__at", "snapshot_id", *attributes)
     one = latest_delivery(rows, ["Id", "__at"], "snapshot_id", list(attributes))
-    log = change_log(one, "Id", "__at", attributes, bucket_us)
+    log = cut(change_log(one, "Id", "__at", attributes, bucket_us))  # rows are changes, not snapshots
     return versions(log, list(attributes), bucket_us)
 
 
