@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plenaria.functions.ordered import carry
 from plenaria.operators.instants import utc_micros
+from plenaria.runtime import cut
 
 TOLERANCE_US = 45 * 60 * 1_000_000
 BUCKET_US = 15 * 60 * 1_000_000
@@ -37,6 +38,7 @@ def nearest(
         "__e", "__t", "__left", F.floor(F.col("__t") / bucket_us).alias("__b"),
         F.when(F.col("__id").isNotNull(), F.struct(F.col("__t").alias("t"), F.col("__id").alias("id"))).alias("__r"),
     )
+    moments = cut(moments)  # distinct moments, which both carries read
     moments = carry(moments, ["__e"], "__b", ["__t"], {"__last": "__r"})
     moments = carry(moments, ["__e"], "__b", ["__t"], {"__next": "__r"}, forward=False)
 
