@@ -118,11 +118,11 @@ def join(events: DataFrame, entity: str, day: str, state: DataFrame, out: str, p
     """``events`` with the value as known at 00:00 UTC of ``day`` (days since 1970) in ``out``; null if none was."""
     ends = state.agg(F.min("low").alias("__low"), F.max("high").alias("__high")).first()
     low, high = (ends[0], ends[1]) if ends and ends[0] is not None else (0, 0)
-    right = state.select(F.col("entity").alias("__e"), F.col("period").alias("__p"), "snapshot", "log")
+    right = state.select(F.col("entity").alias("__e"), F.col("period").alias("__p"), F.col("snapshot").alias("__snapshot"), F.col("log").alias("__log"))
     right = broadcast_within(right, broadcast_rows)
     at = F.least(F.greatest(F.floor(F.col(day) / period_days).cast("long"), F.lit(low)), F.lit(high))
-    done = F.filter("log", lambda c: c["day"] <= F.col(day))
-    value = F.when(F.size(done) > 0, F.element_at(done, -1)["value"]["v"]).otherwise(F.col("snapshot"))
+    done = F.filter("__log", lambda c: c["day"] <= F.col(day))
+    value = F.when(F.size(done) > 0, F.element_at(done, -1)["value"]["v"]).otherwise(F.col("__snapshot"))
     return events.join(right, (F.col(entity) == F.col("__e")) & (at == F.col("__p")), "left").select(*events.columns, value.alias(out))
 
 
