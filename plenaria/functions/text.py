@@ -109,7 +109,7 @@ def joined(*parts: Column) -> Column:
 
 def id_list(text: Column) -> Column:
     """Ids of a ';'-joined list, trimmed, without blanks; null gives []."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def truth(text: Column) -> Column:

@@ -115,7 +115,7 @@ def parse(files: DataFrame) -> DataFrame:
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in parts:
             rows = [r for path, content in zip(d["path"], d["content"]) for r in speeches(bytes(content), PurePosixPath(re.sub(r"^\w+:", "", path)).stem)]
-            yield pd.DataFrame(rows, columns=COLUMNS)
+            yield pd.DataFrame([[r.get(c) for c in COLUMNS] for r in rows], columns=COLUMNS, dtype=object)
 
     return files.select("path", "content").mapInPandas(of, SCHEMA)
 
