@@ -232,7 +232,7 @@ def parse(speeches: DataFrame, people: tuple, texts: bool) -> DataFrame:
                 chunk = int(nr or 0) // CHUNK
                 for k, (who, body) in enumerate(segments(text, own, known)):
                     rows.append((vid, chunk, nr, sid, start, k, who, body if texts else None))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PARSED.split(", ")])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PARSED.split(", ")], dtype=object)
 
     return speeches.select(*columns).mapInPandas(of, _PARSED)
 
@@ -250,6 +250,7 @@ def topological(rows: list[tuple]) -> list[int]:
     if None not in numbers and len(set(numbers)) == n:
         return rank  # dialogue order alone is total; every timing constraint agrees or is dropped
     edges: list[tuple[int, int, int]] = []
+    nodes = n  # a node between two levels stands for all pairs of theirs
     for weight, field in ((DIALOGUE, 0), (TIMING, 1)):
         levels: dict = defaultdict(list)
         for i in range(n):
@@ -257,7 +258,8 @@ def topological(rows: list[tuple]) -> list[int]:
                 levels[rows[i][field]].append(i)
         keys = sorted(levels)
         for a, b in zip(keys, keys[1:]):
-            edges += [(weight, x, y) for x in levels[a] for y in levels[b][:1]] + [(weight, x, y) for x in levels[a][-1:] for y in levels[b][1:]]
+            edges += [(weight, x, nodes) for x in levels[a]] + [(weight, nodes, y) for y in levels[b]]
+            nodes += 1
     after: dict[int, set[int]] = defaultdict(set)
 
     def reaches(a: int, b: int) -> bool:
@@ -271,22 +273,23 @@ def topological(rows: list[tuple]) -> list[int]:
                 stack.append(y)
         return False
 
-    before = [0] * n
+    before = [0] * nodes
     for _, a, b in sorted(edges, key=lambda e: -e[0]):
         if b not in after[a] and not reaches(b, a):
             after[a].add(b)
             before[b] += 1
     place = {i: k for k, i in enumerate(rank)}
-    ready = [place[i] for i in range(n) if not before[i]]
+    ready = [(place.get(i, -1), i) for i in range(nodes) if not before[i]]
     heapq.heapify(ready)
     out = []
     while ready:
-        i = rank[heapq.heappop(ready)]
-        out.append(i)
+        i = heapq.heappop(ready)[1]
+        if i < n:
+            out.append(i)
         for j in after[i]:
             before[j] -= 1
             if not before[j]:
-                heapq.heappush(ready, place[j])
+                heapq.heappush(ready, (place.get(j, -1), j))
     return out
 
 
@@ -323,7 +326,7 @@ def _order(d: pd.DataFrame) -> pd.DataFrame:
                 run += 1
             last = who
             out.append((r.verslag_id, r.chunk, len(out), r.volgnr, r.speech_id, seq, who, run, r.body))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _ORDERED.split(", ")])
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _ORDERED.split(", ")], dtype=object)
 
 
 def people_of(persoon: DataFrame, membership: DataFrame, fractie: DataFrame) -> tuple:
