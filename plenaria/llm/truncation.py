@@ -111,14 +111,16 @@ def detect(df: DataFrame, text: str, source: str, least: int = LEAST, times: flo
     best = found.groupBy("source").agg(F.collect_set(F.struct("measure", "length", "texts")).alias("__limits"))
     best = broadcast_within(best, LIMIT_ROWS)
     ls = lengths(F.col(text))
-    base = df.drop("ending", "at_limit", "cut").withColumn("__end", tail(F.col(text)))
+    base = df.drop("ending", "at_limit", "cut")
+    # bound within the expression, so that a filter pushed down does not read the tail for every pattern
+    how = F.transform(F.array(tail(F.col(text))), ending)[0]
     base = base.withColumn("__own", F.create_map(*[x for m, c in ls.items() for x in (F.lit(m), c)]))
     own = base["__own"]
     hit = F.filter("__limits", lambda x: F.try_element_at(own, x["measure"]) == x["length"])
     strongest = F.element_at(F.array_sort(hit, lambda a, b: (b["texts"] - a["texts"]).cast("int")), 1)
     joined = base.join(best, base[source].eqNullSafe(best["source"]), "left").select(
-        *[base[c] for c in base.columns if c not in ("__end", "__own")],
-        ending(base["__end"]).alias("ending"),
+        *[base[c] for c in base.columns if c != "__own"],
+        how.alias("ending"),
         F.when(F.size(hit) > 0, F.struct(strongest["measure"].alias("measure"), strongest["length"].alias("length"))).alias("at_limit"),
     )
     return joined.withColumn("cut", F.coalesce(F.col("ending").isin("marked", "open"), F.lit(False)))
