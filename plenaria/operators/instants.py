@@ -86,50 +86,67 @@ def utc_micros(text: Column, zone: str = ZONE) -> Column:
     """
     got = F.split(F.regexp_replace(text, pattern(), template()), "\u0001")
     whole = F.when((F.size(got) == len(PARTS) + 1) & (F.get(got, F.lit(0)) == ""), got)
-    return F.transform(F.array(whole), lambda g: _assemble(g, zone))[0]  # bound once, used by every part
+    # each step is bound once and used by every part of the next
+    numbers = F.transform(F.array(whole), _numbers)
+    return F.transform(numbers, lambda n: _assemble(n, zone))[0]
 
 
-def _assemble(g: Column, zone: str) -> Column:
+def _numbers(g: Column) -> Column:
+    """The components as numbers; the zone as minutes, null for civil time and -9999 for one that cannot be."""
     part = {p: F.get(g, F.lit(k + 1)) for k, p in enumerate(PARTS)}
 
     def number(p: str) -> Column:
         return part[p].try_cast("long")
 
     names = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-    y, d = number("y"), number("d")
-    m = F.coalesce(number("m"), F.try_element_at(names, F.lower(part["n"])).cast("long"))
-    h0, i, s = (F.coalesce(number(p), F.lit(0)) for p in "his")
-    pm = F.lower(part["p"])
-    h = F.when(pm == "", h0).when((h0 < 1) | (h0 > 12), F.lit(99)).otherwise(h0 % 12 + F.when(pm == "p", 12).otherwise(0))
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    length = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    valid = (
-        (y > 1) & (y < 9999) & m.between(1, 12) & (d >= 1) & (d <= length) & (h <= 23) & (i <= 59) & (s <= 59)
-    )
-    micro = F.coalesce(F.rpad(F.substring(part["f"], 1, 6), 6, "0").try_cast("long"), F.lit(0))
-    local = (((days_from_civil(y, m, d) * 24 + h) * 60 + i) * 60 + s) * 1_000_000 + micro
     z = F.upper(part["z"])
     digits = F.regexp_replace(z, "[^0-9]", "")
     hours = F.substring(digits, 1, 2).try_cast("long")
     minutes = F.coalesce(F.substring(digits, 3, 2).try_cast("long"), F.lit(0))
     offset = (
-        F.when(z.isin("Z", "UTC", "GMT"), 0)
+        F.when(z == "", None)
+        .when(z.isin("Z", "UTC", "GMT"), 0)
         .when(z == "CET", 60)
         .when(z == "CEST", 120)
         .when((hours <= 18) & (minutes <= 59), (hours * 60 + minutes) * F.when(z.startswith("-"), -1).otherwise(1))
+        .otherwise(-9999)
     )
-    civil = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone))
-    instant = F.when(valid, F.when(z == "", civil).otherwise(local - offset * 60_000_000))
-    return F.coalesce(
-        F.when(part["e"] != "", number("e") * 1_000_000), F.when(part["k"] != "", number("k") * 1000), instant
+    return F.struct(
+        number("y").alias("y"),
+        F.coalesce(number("m"), F.when(part["n"] != "", F.try_element_at(names, F.lower(part["n"]))).cast("long")).alias("m"),
+        number("d").alias("d"),
+        *[F.coalesce(number(p), F.lit(0)).alias(p) for p in "his"],
+        F.coalesce(F.rpad(F.substring(part["f"], 1, 6), 6, "0").try_cast("long"), F.lit(0)).alias("f"),
+        F.lower(part["p"]).alias("p"),
+        offset.alias("z"),
+        F.coalesce(number("e") * 1_000_000, number("k") * 1000).alias("epoch"),
     )
 
 
+def _assemble(n: Column, zone: str) -> Column:
+    y, m, d, h0, i, s = (n[c] for c in "ymdhis")
+    h = F.when(n["p"] == "", h0).when((h0 < 1) | (h0 > 12), F.lit(99)).otherwise(h0 % 12 + F.when(n["p"] == "p", 12).otherwise(0))
+    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+    length = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+    valid = (y > 1) & (y < 9999) & m.between(1, 12) & (d >= 1) & (d <= length) & (h <= 23) & (i <= 59) & (s <= 59) & F.coalesce(n["z"] != -9999, F.lit(True))
+    local = (((days_from_civil(y, m, d) * 24 + h) * 60 + i) * 60 + s) * 1_000_000 + n["f"]
+    civil = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone))
+    return F.when(n["epoch"].isNotNull(), n["epoch"]).when(valid, F.when(n["z"].isNull(), civil).otherwise(local - n["z"] * 60_000_000))
+
+
 def normalise(df: DataFrame, text: str, out: str = "utc_us", zone: str = ZONE) -> DataFrame:
     """``df`` with the instant of column ``text`` in ``out``; other columns stay, a clashing ``out`` is replaced."""
     return df.withColumn(out, utc_micros(F.col(text), zone))
 
 
+def denoted(df: DataFrame, text: str, out: str = "utc_us") -> DataFrame:
+    """``df`` with the instant of ``text``, without the rows that denote none.
+
+    The rows are left out by an explode, as a filter on the instant would compute it a second time.
+    """
+    return df.select("*", F.explode(F.filter(F.array(utc_micros(F.col(text))), lambda u: u.isNotNull())).alias(out))
+
+
 def found(activiteit: DataFrame, fractie: DataFrame) -> DataFrame:
     """Distinct (tabel, sleutel, utc_us) of every row whose text denotes an instant.
 
@@ -137,5 +154,4 @@ def found(activiteit: DataFrame, fractie: DataFrame) -> DataFrame:
     """
     a = activiteit.select(F.lit("activiteit").alias("tabel"), F.col("Id").alias("sleutel"), F.col("Datum").alias("t"))
     f = fractie.select(F.lit("fractie").alias("tabel"), F.col("snapshot_id").cast("string").alias("sleutel"), F.col("GewijzigdOp").alias("t"))
-    both = a.unionByName(f).select("tabel", "sleutel", utc_micros(F.col("t")).alias("utc_us"))
-    return both.where(F.col("utc_us").isNotNull()).distinct()
+    return denoted(a.unionByName(f), "t").select("tabel", "sleutel", "utc_us").distinct()
