@@ -345,13 +345,10 @@ def ordered_segments(speeches: DataFrame, people: tuple, texts: bool = True) ->
     """
     pid = F.lower(F.trim("persoon_id"))
     chunk = F.floor(F.coalesce("volgnr", F.lit(0)) / CHUNK).cast("long")
-    per = speeches.groupBy("verslag_id", chunk.alias("chunk")).agg(
-        F.mode(F.when(F.col("is_voorzitter"), pid), True).alias("chair"), F.collect_set(pid).alias("present")
-    )
-    whole = per.groupBy(F.col("verslag_id").alias("__v")).agg(
-        F.mode("chair", True).alias("chair"), F.array_distinct(F.flatten(F.collect_list("present"))).alias("present")
-    )
-    context = per.select("verslag_id", "chunk").join(whole, F.col("verslag_id").eqNullSafe(F.col("__v"))).drop("__v")
+    # both buffers hold distinct persons, whatever the rows of a transcript
+    whole = speeches.groupBy(F.col("verslag_id").alias("__v")).agg(F.mode(F.when(F.col("is_voorzitter"), pid), True).alias("chair"), F.collect_set(pid).alias("present"))
+    per = speeches.select("verslag_id", chunk.alias("chunk")).distinct()
+    context = per.join(whole, F.col("verslag_id").eqNullSafe(F.col("__v"))).drop("__v")
     context = context.select(F.col("verslag_id").alias("__v"), F.col("chunk").alias("__c"), "chair", "present")
     parts = parse(speeches, people, texts)
     joined = parts.join(context, F.col("verslag_id").eqNullSafe(F.col("__v")) & (F.col("chunk") == F.col("__c")), "left").drop("__v", "__c")
