@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -40,9 +41,21 @@ def select(names: list[str] | None, known: list[Entity] | None = None) -> tuple[
     return [by[n] for n in names if n in by], [n for n in names if n not in by]
 
 
+def load_config(path: str) -> dict:
+    """Settings of a run from a YAML or JSON file."""
+    text = Path(path).read_text(encoding="utf-8")
+    if path.endswith(".json"):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("YAML settings need the yaml package; JSON ones do not") from e
+    return yaml.safe_load(text)
+
+
 def column_type(name: str) -> DataType:
     """Type of a column by its name, as all entities follow one naming."""
-    if name in {"AantalZetels", "FractieGrootte", "Nummer_int", "Volgorde", "HoogsteVolgnummer", "VergaderingNummer", "Gewicht", "Jaar", "Versienummer"}:
+    if name in {"AantalZetels", "FractieGrootte", "Volgorde", "HoogsteVolgnummer", "VergaderingNummer", "Gewicht", "Jaar", "Versienummer"}:
         return IntegerType()
     if name in {"AantalStemmen", "ContentLength", "Bestandsgrootte", "Bedrag"}:
         return LongType()

@@ -90,6 +90,11 @@ def active(df: DataFrame, ended: str, size: str) -> DataFrame:
     return df.where(F.col(ended).isNull() & (F.col(size) > 0))
 
 
+def without_status(df: DataFrame, status: str, unwanted: str) -> DataFrame:
+    """Rows whose status is another one; a null status is another one."""
+    return df.where(~F.col(status).eqNullSafe(F.lit(unwanted)))
+
+
 def mentions(text: Column, part: str) -> Column:
     """Whether the text holds ``part`` in any case; null does not."""
     return F.coalesce(F.contains(F.lower(text), F.lit(part.lower())), F.lit(False))

@@ -104,7 +104,7 @@ _SECOND = (
     v0.Persoon_Id AS p0, v1.Persoon_Id AS p1, v2.Persoon_Id AS p2, v0.Vergissing AS f0, v1.Vergissing AS f1, v2.Vergissing AS f2
   FROM c LEFT JOIN v0 ON v0.Besluit_Id = c.besluit_id AND v0.k = nullif(c.persoon_id, '')
   LEFT JOIN v1 ON v1.Besluit_Id = c.besluit_id AND v1.k = nullif(c.fractie, '') LEFT JOIN v2 ON v2.Besluit_Id = c.besluit_id AND v2.k = nullif(lower(c.fractie), ''))
-SELECT persoon_id, besluit_id, fractie, act AS activiteit_id, len AS speech_length, q AS link_quality,
+SELECT persoon_id, besluit_id, fractie, act AS activiteit_id, CAST(len AS INTEGER) AS speech_length, q AS link_quality,
   CASE hit WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS vote, CASE hit WHEN 0 THEN g0 WHEN 1 THEN g1 ELSE g2 END AS vote_fractie_grootte,
   (CASE hit WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END) IS NOT NULL AS vote_is_individual, CASE hit WHEN 0 THEN f0 WHEN 1 THEN f1 ELSE f2 END AS vote_vergissing
 FROM r WHERE hit IS NOT NULL QUALIFY row_number() OVER (PARTITION BY persoon_id, besluit_id ORDER BY coalesce(len, -1) DESC, ord) = 1""")
@@ -165,7 +165,7 @@ def vote_lookups(t):
 # ---- joins and sets ---------------------------------------------------------------------------
 
 
-@query("""SELECT n.n_name, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS tegen, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS voor, count(*) AS n
+@query("""SELECT n.n_name, count(*) FILTER (l_returnflag = 'R') AS tegen, count(*) FILTER (l_returnflag = 'A') AS voor, count(*) AS n
 FROM nation n JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY n.n_name""")
 def chain_counts(t):
     o = t("orders").select("o_orderkey", "o_custkey")
@@ -254,7 +254,7 @@ def voting_activities(t):
     return t("speech_vote_pairs").where(clean.mentions(F.col("activiteit_soort"), "Stemming")).groupBy("activiteit_soort").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT speech_id, length(speech_text) AS lengte FROM speeches WHERE NOT coalesce(is_voorzitter, false) AND NOT coalesce(is_interruptie, false) AND fractie IS NOT NULL AND length(speech_text) > 50")
+@query("SELECT DISTINCT speech_id, CAST(length(speech_text) AS INTEGER) AS lengte FROM speeches WHERE NOT coalesce(is_voorzitter, false) AND NOT coalesce(is_interruptie, false) AND fractie IS NOT NULL AND length(speech_text) > 50")
 def substantive(t):
     return link.substantive(t("speeches")).select("speech_id", F.length("speech_text").alias("lengte")).distinct()
 
@@ -556,7 +556,7 @@ def largest_parties_votes(t):
     return reports.crosstab(reports.largest_groups(t("speech_vote_pairs"), "fractie", 15), F.col("fractie"), "vote", ["Voor", "Tegen"])
 
 
-@query("SELECT vote, round(avg(speech_length), 6) AS gemiddeld, sum(speech_length) AS som, count(*) AS n FROM speech_vote_pairs GROUP BY vote")
+@query("SELECT vote, round(avg(speech_length), 6) AS gemiddeld, CAST(sum(speech_length) AS BIGINT) AS som, count(*) AS n FROM speech_vote_pairs GROUP BY vote")
 def lengths_by_vote(t):
     return t("speech_vote_pairs").groupBy("vote").agg(F.round(F.avg("speech_length"), 6).alias("gemiddeld"), F.sum("speech_length").alias("som"), F.count("*").alias("n"))
 

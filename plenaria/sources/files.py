@@ -98,6 +98,13 @@ def staged(spark: SparkSession, path: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def size_mb(path: str) -> float:
+    """Megabytes of a local file or folder."""
+    p = Path(path)
+    n = sum(f.stat().st_size for f in p.rglob("*") if f.is_file()) if p.is_dir() else p.stat().st_size if p.exists() else 0
+    return round(n / (1024 * 1024), 2)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

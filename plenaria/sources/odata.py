@@ -8,6 +8,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -65,6 +66,30 @@ def count(base: str, entity: str, fetch=get) -> int | None:
         return None
 
 
+def download(base: str, entity: str, ids: list[str], folder: str, suffix: str = ".xml", skip_existing: bool = True, timeout: float = 60.0, opener=urllib.request.urlopen) -> dict[str, Path]:
+    """The resource of each record as a file; ids without one (404) are left out, and what is there is not fetched again.
+
+    Runs on the driver, before Spark reads the folder (``transcripts.read``).
+    """
+    out: dict[str, Path] = {}
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    for i in ids:
+        to = Path(folder, f"{i}{suffix}")
+        if not (skip_existing and to.exists() and to.stat().st_size):
+            try:
+                with opener(f"{base.rstrip('/')}/{entity}({i})/resource", timeout=timeout) as r:
+                    body = r.read()
+            except urllib.error.HTTPError as e:
+                if e.code != 404:
+                    raise
+                continue
+            if not body:
+                continue
+            to.write_bytes(body)
+        out[i] = to
+    return out
+
+
 class _Entity(InputPartition):
     def __init__(self, name: str):
         self.name = name

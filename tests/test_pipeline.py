@@ -1,0 +1,72 @@
+import json
+import urllib.error
+from io import BytesIO
+
+from plenaria import catalog
+from plenaria.plans import pipeline
+from plenaria.sources import files, odata
+
+XML = """<v><vergadering objectid="m1" soort="Plenair"><datum>{day}T10:00:00</datum><activiteit objectid="{act}" soort="Debat"><onderwerp>schoon water</onderwerp><activiteithoofd objectid="h1">
+<activiteitdeel soort="Spreekbeurt"><activiteititem>
+<woordvoerder><spreker objectid="p1"><fractie>A</fractie></spreker><tekst><alinea>De heer Een (A):</alinea><alinea>{long}</alinea></tekst></woordvoerder>
+<woordvoerder><spreker objectid="p2"><fractie>b</fractie></spreker><tekst><alinea>{long} en meer</alinea></tekst></woordvoerder>
+<woordvoerder><spreker objectid="p9"><fractie>A</fractie></spreker><isvoorzitter>true</isvoorzitter><tekst><alinea>{long}</alinea></tekst></woordvoerder>
+</activiteititem></activiteitdeel></activiteithoofd></activiteit></vergadering></v>"""
+
+
+def raw(folder, name, rows):
+    (folder / f"{name}.json").write_text(json.dumps(rows))
+
+
+def test_whole_run(spark, tmp_path):
+    src = tmp_path / "raw"
+    src.mkdir()
+    raw(src, "Activiteit", [{"Id": " ACT ", "Soort": "Debat", "Datum": "2021-03-01T00:00:00", "Leeg": None}, {"Id": "stem", "Soort": "Stemmingen", "Datum": "2022-03-02T00:00:00", "Leeg": None}])
+    raw(src, "Agendapunt", [{"Id": "a1", "Activiteit_Id": "act", "Onderwerp": "water"}, {"Id": "a2", "Activiteit_Id": "stem", "Onderwerp": "motie schoon water"}])
+    raw(src, "Besluit", [{"Id": f"b{k}", "Agendapunt_Id": f"a{k}", "StemmingsSoort": "x", "BesluitSoort": "y", "BesluitTekst": "Aangenomen."} for k in (1, 2)])
+    raw(src, "Stemming", [
+        {"Id": f"s{k}{p}", "Besluit_Id": f"b{k}", "Persoon_Id": None, "ActorFractie": p, "Soort": v, "FractieGrootte": 3, "Vergissing": False, "GewijzigdOp": "2022-01-01T00:00:00", "Verwijderd": False}
+        for k in (1, 2) for p, v in (("A", "Voor"), ("B", "Tegen"))
+    ])
+    out = str(tmp_path / "clean")
+    done = pipeline.clean_entities(spark, str(src), out, ["Activiteit", "Agendapunt", "Besluit", "Stemming", "Weg"])
+    assert isinstance(done["Weg"], Exception) and len([p for p in done.values() if isinstance(p, str)]) == 4
+    assert {r.tabel: r.rijen for r in files.read_csv(spark, f"{out}/_summary").collect()} == {"Activiteit": 2, "Agendapunt": 2, "Besluit": 2, "Stemming": 4}
+    assert spark.read.parquet(f"{out}/Activiteit.parquet").columns == ["Datum", "Id", "Soort"]
+
+    xml = tmp_path / "xml"
+    xml.mkdir()
+    (xml / "v1.xml").write_text(XML.format(day="2021-03-01", act="act", long="woord " * 20))
+    (xml / "v2.xml").write_text(XML.format(day="2022-03-01", act="los", long="woord " * 30))
+    got = spark.read.parquet(pipeline.speech_dataset(spark, str(xml), out, str(tmp_path / "set")))
+    rows = {(r.persoon_id, r.besluit_id): (r.vote, r.link_quality, r.split, r.speech_position) for r in got.collect()}
+    assert rows == {
+        ("p1", "b1"): ("Voor", 1, "train", 0.0), ("p2", "b1"): ("Tegen", 1, "train", 0.5), ("p1", "b2"): ("Voor", 3, "val", 0.0), ("p2", "b2"): ("Tegen", 3, "val", 0.5),
+    }
+    cases = spark.createDataFrame([("Motie", "schoon water", None, "Ontraden")], "Soort string, Titel string, Onderwerp string, Kabinetsappreciatie string")
+    coalition = spark.createDataFrame([(2022, "A")], "jaar int, fractie string")
+    from pyspark.sql import functions as F
+
+    with_topic = got.withColumn("agendapunt_onderwerp", F.lit("motie schoon water"))
+    e = pipeline.enhanced(with_topic.where("split = 'train'"), with_topic.where("split = 'val'"), cases, coalition)
+    assert {(r.persoon_id, r.speaker_loyalty, r.zaak_soort, r.kabinetsappreciatie, r.is_coalition) for r in e.collect()} == {("p1", 1.0, "Motie", "Ontraden", 1), ("p2", 1.0, "Motie", "Ontraden", 0)}
+
+
+def test_download(tmp_path):
+    asked = []
+
+    def opener(url, timeout):
+        asked.append(url)
+        if "(weg)" in url:
+            raise urllib.error.HTTPError(url, 404, "", {}, None)
+        return BytesIO(b"" if "(leeg)" in url else b"<v/>")
+
+    for _ in range(2):
+        got = odata.download("http://x/", "Verslag", ["a", "weg", "leeg"], str(tmp_path), opener=opener)
+        assert list(got) == ["a"] and got["a"].read_bytes() == b"<v/>"
+    assert len([u for u in asked if "(a)" in u]) == 1
+
+
+def test_settings(tmp_path):
+    (tmp_path / "c.json").write_text('{"entities": ["Zaak"]}')
+    assert catalog.load_config(str(tmp_path / "c.json")) == {"entities": ["Zaak"]}
