@@ -52,6 +52,11 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df if seen[0] == 0 else df.select(*[F.col(_q(c)) for k, c in enumerate(df.columns) if seen[k + 1] > 0])
 
 
+def with_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``df`` with the columns that cleaning may have dropped as empty, null and of the types given."""
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
+
+
 def preprocess(df: DataFrame, strings: bool = True, dates: bool = True, empty: bool = True) -> DataFrame:
     """The whole cleaning in its order."""
     df = df.transform(drop_deleted_mark).transform(standard_ids)

@@ -12,6 +12,15 @@ from plenaria.operators import clean, features, link
 from plenaria.sources import files, transcripts
 
 
+#: Columns that linking reads of each entity; one that was empty throughout has been dropped by cleaning.
+NEEDED = {
+    "Activiteit": {"Id": "string", "Soort": "string", "Datum": "timestamp"},
+    "Agendapunt": {"Id": "string", "Activiteit_Id": "string", "Onderwerp": "string"},
+    "Besluit": {"Id": "string", "Agendapunt_Id": "string", "StemmingsSoort": "string", "BesluitSoort": "string", "BesluitTekst": "string"},
+    "Stemming": {"Id": "string", "Besluit_Id": "string", "Soort": "string", "FractieGrootte": "int", "Persoon_Id": "string", "ActorFractie": "string", "Vergissing": "boolean", "GewijzigdOp": "timestamp"},
+}
+
+
 def clean_entities(spark: SparkSession, raw: str, out: str, names: list[str], kind: str = "parquet") -> dict[str, str | Exception]:
     """Raw ``name.json`` of every entity cleaned and written under ``out``; a failure of one does not stop the others.
 
@@ -54,7 +63,7 @@ def linked_pairs(speeches: DataFrame, tables: dict[str, DataFrame], train_to: in
 def speech_dataset(spark: SparkSession, xml: str, entities: str, out: str) -> str:
     """Transcripts and clean entities to pairs, one folder for each split; stages that are there are not made again."""
     speeches = files.staged(spark, f"{out}/speeches", lambda: speech_table(spark, xml))
-    tables = {n: spark.read.parquet(f"{entities}/{n}.parquet") for n in ("Activiteit", "Agendapunt", "Besluit", "Stemming")}
+    tables = {n: clean.with_missing(spark.read.parquet(f"{entities}/{n}.parquet"), columns) for n, columns in NEEDED.items()}
     return files.save(linked_pairs(speeches, tables), str(Path(out, "pairs")), by=["split"])
 
 
