@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenaria.functions.ordered import carry
-from plenaria.operators.instants import utc_micros
+from plenaria.operators.instants import denoted
 from plenaria.runtime import cut
 
 TOLERANCE_US = 45 * 60 * 1_000_000
@@ -56,6 +56,6 @@ def nearest(
 def found(speeches: DataFrame, activiteit: DataFrame) -> DataFrame:
     """Distinct (speech_id, activiteit_id) of the speeches with an activiteit of their vergadering near enough."""
     left = speeches.select("speech_id", "vergadering_id", F.unix_micros("verg_date").alias("__at"))
-    right = activiteit.select("Id", "Vergadering_Id", utc_micros(F.col("Datum")).alias("__at"))
+    right = denoted(activiteit.select("Id", "Vergadering_Id", "Datum").where("Vergadering_Id is not null"), "Datum", "__at")
     got = nearest(left, right, ("vergadering_id", "Vergadering_Id"), ("__at", "__at"), "Id", "activiteit_id")
     return got.where("activiteit_id is not null").select("speech_id", "activiteit_id").distinct()
