@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenaria.functions.ordered import carry
@@ -218,6 +218,17 @@ def segments(text: str | None, row_speaker: str | None, people: People) -> list[
 _PARSED = "verslag_id string, chunk long, volgnr long, speech_id long, start string, seq int, who string, body string"
 
 
+def chunk_of() -> Column:
+    """Number of the chunk of a row: by its volgnr, without one by the minute of its start, without either by its id.
+
+    Chunks of rows without volgnr come before all others, so they too are spread over tasks.
+    """
+    start = F.regexp_extract(F.coalesce("speech_start", F.lit("")), r"^\s*(\d{1,2}):(\d\d)", 1), F.regexp_extract(F.coalesce("speech_start", F.lit("")), r"^\s*(\d{1,2}):(\d\d)", 2)
+    minute = start[0].try_cast("long") * 60 + start[1].try_cast("long")
+    by_id = F.floor(F.coalesce("speech_id", F.lit(0)) / CHUNK).cast("long") - F.lit(1 << 40)
+    return F.when(F.col("volgnr").isNotNull(), F.floor(F.col("volgnr") / CHUNK).cast("long") + 10_000).otherwise(F.coalesce(minute, by_id))
+
+
 def parse(speeches: DataFrame, people: tuple, texts: bool) -> DataFrame:
     """Segments with words of every row, where the row lies (no shuffle)."""
     columns = ["speech_id", "verslag_id", "volgnr", "persoon_id", "verslagnaam", "achternaam", "voornaam", "fractie", "is_voorzitter", "speech_start", "speech_text"]
@@ -227,14 +238,13 @@ def parse(speeches: DataFrame, people: tuple, texts: bool) -> DataFrame:
         for d in parts:
             rows = []
             d = d.astype(object).where(d.notna(), None)
-            for sid, vid, nr, pid, full, surname, given, party, chair, start, text in d[columns].itertuples(index=False):
+            for sid, vid, nr, pid, full, surname, given, party, chair, start, text, chunk in d[[*columns, "__chunk"]].itertuples(index=False):
                 own = known.described(pid, full, surname, given, party) or ("!" if chair else None)
-                chunk = int(nr or 0) // CHUNK
                 for k, (who, body) in enumerate(segments(text, own, known)):
                     rows.append((vid, chunk, nr, sid, start, k, who, body if texts else None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PARSED.split(", ")], dtype=object)
 
-    return speeches.select(*columns).mapInPandas(of, _PARSED)
+    return speeches.select(*columns, chunk_of().alias("__chunk")).mapInPandas(of, _PARSED)
 
 
 def topological(rows: list[tuple]) -> list[int]:
@@ -344,10 +354,9 @@ def ordered_segments(speeches: DataFrame, people: tuple, texts: bool = True) ->
     transcript, if that is one.
     """
     pid = F.lower(F.trim("persoon_id"))
-    chunk = F.floor(F.coalesce("volgnr", F.lit(0)) / CHUNK).cast("long")
     # both buffers hold distinct persons, whatever the rows of a transcript
     whole = speeches.groupBy(F.col("verslag_id").alias("__v")).agg(F.mode(F.when(F.col("is_voorzitter"), pid), True).alias("chair"), F.collect_set(pid).alias("present"))
-    per = speeches.select("verslag_id", chunk.alias("chunk")).distinct()
+    per = speeches.select("verslag_id", chunk_of().alias("chunk")).distinct()
     context = per.join(whole, F.col("verslag_id").eqNullSafe(F.col("__v"))).drop("__v")
     context = context.select(F.col("verslag_id").alias("__v"), F.col("chunk").alias("__c"), "chair", "present")
     parts = parse(speeches, people, texts)

@@ -102,6 +102,20 @@ def test_a_turn_over_many_chunks_is_one(spark):
     assert found(spark, rows) == [("v", 1, "p1"), ("v", 9000, "p2")]
 
 
+def test_rows_without_volgnr_come_first_by_their_time(spark):
+    def at(i, start, pid):
+        return (i, "v", None, pid, None, None, None, None, None, start, "Woorden.", "x")
+
+    rows = [row(1, 1, "Verder."), at(2, "10:05:00", "p2"), at(3, "09:00:00", "p1"), at(4, None, "p3"), at(5, "onleesbaar", "p4")]
+    s = turns.ordered_segments(spark.createDataFrame(rows, SPEECH), turns.people_of(*frames(spark)))
+    assert [r.speech_id for r in s.orderBy("chunk", "place").collect()][2:] == [3, 2, 1]
+    assert ("v", None, "p2") in found_any(spark, rows)
+
+
+def found_any(spark, rows):
+    return [tuple(r) for r in turns.found(spark.createDataFrame(rows, SPEECH), *frames(spark)).collect()]
+
+
 def test_empty_and_unknown(spark):
     assert found(spark, []) == []
     assert found(spark, [row(1, 1, "Wie spreekt?")]) == []
