@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import io
 import os
 import shutil
 import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -19,16 +22,39 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors once for each application, so that their Python finds it."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        here = Path(__file__).resolve().parent
-        to = Path(tempfile.mkdtemp(prefix="plenaria-ship-")) / "plenaria_src"
-        spark.sparkContext.addPyFile(shutil.make_archive(str(to), "zip", here.parent, here.name))
-        _shipped.add(app)
+    """Sends this package to the executors once for each application, so that their Python finds it.
+
+    The archive goes through the shared folder of the cluster; only in local mode, without one, a
+    temporary file holds it.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return spark
+    here = Path(__file__).resolve().parent
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    name = f"plenaria-{sc.applicationId}.zip"
+    if shared := _configured(spark):
+        at = sc._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/{name}")
+        out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(archive.getvalue()))
+        out.close()
+        sc.addPyFile(at.toString())
+    else:
+        to = Path(tempfile.mkdtemp(prefix="plenaria-ship-")) / name
+        to.write_bytes(archive.getvalue())
+        sc.addPyFile(str(to))
+        atexit.register(shutil.rmtree, to.parent, True)
+    _shipped.add(sc.applicationId)
     return spark
 
 
+def _configured(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Table ``name`` under ``root``: one Parquet file or a folder of them."""
     return ship(spark).read.parquet(f"{root}/{name}.parquet")
@@ -37,7 +63,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a local one is made only where none is configured (tests)."""
     sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    shared = _configured(spark)
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
@@ -45,6 +71,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = os.path.join(tempfile.gettempdir(), f"plenaria-checkpoints-{os.getpid()}")
+        atexit.register(shutil.rmtree, shared, True)
     sc.setCheckpointDir(shared)
     return shared
 

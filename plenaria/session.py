@@ -23,6 +23,7 @@ def build(app: str = "plenaria", master: str | None = None, **conf: str) -> Spar
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for k, v in settings.items():
         b = b.config(k, v)
