@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenaria.runtime import broadcast_within
+from plenaria.runtime import broadcast_within, cut
 
 #: A limit: at least so many texts of one length, and so many times the mean of the lengths around.
 LEAST, TIMES, AROUND = 5, 8.0, 12
@@ -109,7 +109,7 @@ def detect(df: DataFrame, text: str, source: str, least: int = LEAST, times: flo
     """
     found = limits(df, text, source, least, times)
     best = found.groupBy("source").agg(F.collect_set(F.struct("measure", "length", "texts")).alias("__limits"))
-    best = broadcast_within(best, LIMIT_ROWS)
+    best = broadcast_within(cut(best), LIMIT_ROWS)  # one row a source; the corpus is read once for it
     ls = lengths(F.col(text))
     base = df.drop("ending", "at_limit", "cut")
     # bound within the expression, so that a filter pushed down does not read the tail for every pattern
