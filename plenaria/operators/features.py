@@ -38,13 +38,17 @@ def rate(value: Column) -> Column:
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], defaults: dict[str, object]) -> DataFrame:
-    """``stats`` joined back on ``keys``; what is missing gets its default. Spark picks the join by the size of ``stats``."""
-    s = stats.select(*[F.col(k).alias(f"__{k}") for k in keys], *defaults)
+    """``stats`` joined back on ``keys``; what is missing gets its default. Spark picks the join by the size of ``stats``.
+
+    Columns of ``df`` with the names of ``defaults`` are replaced.
+    """
+    s = stats.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__s_{c}") for c in defaults])
     on = None
     for k in keys:
         c = F.col(k) == F.col(f"__{k}")
         on = c if on is None else on & c
-    return df.join(s, on, "left").select(*df.columns, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()])
+    kept = [c for c in df.columns if c not in defaults]
+    return df.join(s, on, "left").select(*kept, *[F.coalesce(F.col(f"__s_{c}"), F.lit(v)).alias(c) for c, v in defaults.items()])
 
 
 def speaker_loyalty(train: DataFrame, df: DataFrame, out: str = "speaker_loyalty", neutral: float = 0.5) -> DataFrame:
