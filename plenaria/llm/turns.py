@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -303,6 +304,10 @@ def topological(rows: list[tuple]) -> list[int]:
     return out
 
 
+_ORDERED = "verslag_id string, chunk long, place long, volgnr long, speech_id long, seq int, who string, run long, body string"
+_ORDERED_ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[c.split()[1]]) for c in _ORDERED.split(", ")])
+
+
 def _decide(who: str | None, chair: str | None, present: set[str]) -> str | None:
     if who is None:
         return None
@@ -315,28 +320,26 @@ def _decide(who: str | None, chair: str | None, present: set[str]) -> str | None
     return who
 
 
-_ORDERED = "verslag_id string, chunk long, place long, volgnr long, speech_id long, seq int, who string, run long, body string"
-
-
-def _order(d: pd.DataFrame) -> pd.DataFrame:
+def _order(group: pa.Table) -> pa.Table:
     """A chunk of one transcript in order, its speakers decided, with the number of the run within the chunk."""
-    d = d.astype(object).where(d.notna(), None)
-    chair, present = d.chair.iloc[0], set(d.present.iloc[0] if d.present.iloc[0] is not None else ())
+    rows = group.to_pylist()
+    chair, present = rows[0]["chair"], set(rows[0]["present"] or ())
     by: dict = {}
-    for r in d.itertuples(index=False):  # a row delivered twice counts once
-        by.setdefault((r.speech_id, r.volgnr), {})[r.seq] = r
+    for r in rows:  # a row delivered twice counts once
+        by.setdefault((r["speech_id"], r["volgnr"]), {})[r["seq"]] = r
     speech = list(by)
-    starts = [next(iter(by[s].values())).start for s in speech]
-    out, run, last = [], 0, None
+    starts = [next(iter(by[s].values()))["start"] for s in speech]
+    out: list[dict] = []
+    run, last = 0, None
     for i in topological([(s[1], t, s[0]) for s, t in zip(speech, starts)]):
         for seq in sorted(by[speech[i]]):
             r = by[speech[i]][seq]
-            who = _decide(r.who, chair, present) or last
+            who = _decide(r["who"], chair, present) or last
             if who != last and out:
                 run += 1
             last = who
-            out.append((r.verslag_id, r.chunk, len(out), r.volgnr, r.speech_id, seq, who, run, r.body))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _ORDERED.split(", ")], dtype=object)
+            out.append({c: r[c] for c in ("verslag_id", "chunk", "volgnr", "speech_id", "seq", "body")} | {"place": len(out), "who": who, "run": run})
+    return pa.Table.from_pylist(out, schema=_ORDERED_ARROW)
 
 
 def people_of(persoon: DataFrame, membership: DataFrame, fractie: DataFrame) -> tuple:
@@ -361,7 +364,7 @@ def ordered_segments(speeches: DataFrame, people: tuple, texts: bool = True) ->
     context = context.select(F.col("verslag_id").alias("__v"), F.col("chunk").alias("__c"), "chair", "present")
     parts = parse(speeches, people, texts)
     joined = parts.join(context, F.col("verslag_id").eqNullSafe(F.col("__v")) & (F.col("chunk") == F.col("__c")), "left").drop("__v", "__c")
-    return joined.groupBy("verslag_id", "chunk").applyInPandas(_order, _ORDERED)
+    return joined.groupBy("verslag_id", "chunk").applyInArrow(_order, _ORDERED)
 
 
 def turns(segments_in_order: DataFrame) -> DataFrame:
