@@ -35,7 +35,7 @@ ENGLISH = {
     "algemeen": "general", "alliantie": "alliance", "appel": "call", "arbeid": "labour", "belang": "interest", "beweging": "movement",
     "bond": "league", "boeren": "farmers", "burger": "citizen", "burgers": "citizens", "christelijk": "christian", "coöperatie": "cooperative",
     "democraten": "democrats", "democratische": "democratic", "duurzame": "sustainable", "dieren": "animals", "een": "one", "en": "and",
-    "fryske": "frisian", "friese": "frisian", "front": "front", "fundament": "foundation", "groene": "green", "groep": "group", "hemels": "sky",
+    "fryske": "frisian", "friese": "frisian", "front": "front", "fundament": "foundation", "groene": "green", "groep": "group", "hemels": "sky", "het": "the",
     "blauw": "blue", "inwoners": "residents", "jong": "young", "jongeren": "youth", "kleine": "small", "koers": "course", "kompas": "compass",
     "kracht": "power", "kring": "circle", "kust": "coast", "land": "land", "landelijke": "rural", "liberale": "liberal", "licht": "light",
     "lid": "member", "lijst": "list", "mens": "people", "midden": "centre", "nationale": "national", "natuur": "nature", "nieuw": "new",
@@ -229,17 +229,21 @@ def token_set(text: list[str], name: list[str]) -> float:
 
 
 def english(name: str) -> str | None:
-    """``name`` word by word in English, compounds taken apart; None if a word is unknown."""
+    """``name`` word by word in English, compounds taken apart; unknown words stay. None if no word of weight is known."""
     out: list[str] = []
+    known = False
     for w in words(name):
+        parts: list[str] = []
         rest = w
         while rest:
             part = next((rest[:k] for k in range(len(rest), 1, -1) if rest[:k] in _ENGLISH), None)
             if part is None:
-                return None
-            out.append(_ENGLISH[part])
+                break
+            parts.append(_ENGLISH[part])
             rest = rest[len(part) :]
-    return " ".join(out) if out else None
+        out += [w] if rest else parts
+        known = known or (not rest and w not in LIGHT)
+    return " ".join(out) if known else None
 
 
 _ENGLISH = {fold(k): v for k, v in ENGLISH.items()}
