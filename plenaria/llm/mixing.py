@@ -18,8 +18,8 @@ from plenaria.runtime import bounded, cut
 
 #: Sources with a target: one row each.
 MAX_SOURCES = 100_000
-#: Buckets of one source in the prefix sums.
-BUCKETS = 512
+#: Buckets of one source in the prefix sums: at least so many, and so many texts in one.
+BUCKETS, TEXTS_PER_BUCKET = 512, 100_000
 
 
 @dataclass(frozen=True)
@@ -108,7 +108,8 @@ def mix(documents: DataFrame, targets: DataFrame, folder: str = tokens.TOKENIZER
     spark = documents.sparkSession
     rows = [(p.source, p.share, lean * (p.natural - p.share), p.demand, p.available, p.repeats) for p in plans if p.demand > 0]
     table = spark.createDataFrame(rows, "__src string, share double, lean double, demand double, stock long, cap int")
-    drawn = with_offsets(texts).join(F.broadcast(table), F.col("source") == F.col("__src"))
+    buckets = max(BUCKETS, -(-texts.count() // TEXTS_PER_BUCKET))
+    drawn = with_offsets(texts, buckets).join(F.broadcast(table), F.col("source") == F.col("__src"))
     # passes over the source that its demand reaches
     last = F.least(F.col("cap") - 1, F.floor((F.col("demand") - F.col("before") - F.col("n_tokens") / 2) / F.col("stock")).cast("int"))
     copies = drawn.where(last >= 0).withColumn("pass", F.explode(F.sequence(F.lit(0), last)))
