@@ -56,7 +56,7 @@ def filled(df: DataFrame, categorical: list[str], numeric: list[str], texts: lis
 
 
 def _pipeline(categorical: list[str], numeric: list[str], texts: dict[str, list], model) -> Pipeline:
-    stages = one_hot(categorical) + [s for ss in texts.values() for s in ss]
+    stages = (one_hot(categorical) if categorical else []) + [s for ss in texts.values() for s in ss]
     inputs = [f"{c}_v" for c in categorical] + numeric + list(texts)
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), model])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plenaria.functions import text as T
 from plenaria.operators import clean, dedup, features, link, metrics, reports
-from plenaria.runtime import table
+from plenaria.runtime import cut, table
 from plenaria.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -361,13 +361,16 @@ def inverted_index(t):
     return features.enrich_topics(t("speech_vote_pairs"), "agendapunt_onderwerp", t("zaak"))
 
 
+def _coalition(t) -> DataFrame:
+    names = t("fractie").select("Id", F.col("Afkorting").alias("fractie")).distinct()
+    return t("coalitie").where("is_coalition = 1").join(names, F.col("fractie_id") == F.col("Id")).select(F.year("van").alias("jaar"), "fractie")
+
+
 @query("""WITH c AS (SELECT DISTINCT CAST(year(van) AS INTEGER) AS jaar, f.Afkorting AS fractie FROM coalitie JOIN (SELECT DISTINCT Id, Afkorting FROM fractie) f ON f.Id = fractie_id WHERE is_coalition = 1)
 SELECT p.pair_id, CAST(CASE WHEN c.jaar IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS is_coalition FROM (SELECT DISTINCT pair_id, fractie, coalesce(year(TRY_CAST(datum AS DATE)), 2020) AS y FROM speech_vote_pairs) p LEFT JOIN c ON c.jaar = p.y AND c.fractie = p.fractie""")
 def coalition_flag(t):
-    names = t("fractie").select("Id", F.col("Afkorting").alias("fractie")).distinct()
-    known = t("coalitie").where("is_coalition = 1").join(names, F.col("fractie_id") == F.col("Id")).select(F.year("van").alias("jaar"), "fractie")
     p = t("speech_vote_pairs").select("pair_id", "fractie", "datum").distinct()
-    return features.in_coalition(p, known, "datum").select("pair_id", "is_coalition")
+    return features.in_coalition(p, _coalition(t), "datum").select("pair_id", "is_coalition")
 
 
 @query("SELECT Id FROM (SELECT DISTINCT Id FROM stemming) ORDER BY md5('42-' || Id), Id LIMIT 500")
@@ -614,18 +617,48 @@ def model_logistic(t):
     return metrics.scores(models.predicted(m, rest), "vote", "prediction_vote")
 
 
+#: What the structural model (M9) sees; the topic is of M13.
+KINDS = ["fractie", "topic_cluster", "zaak_soort", "kabinetsappreciatie"]
+STRUCTURE = ["is_coalition", "speaker_loyalty", "speech_position", "party_domain_voor_rate", "party_domain_vote_count", "party_recent_voor_rate", "speaker_topic_loyalty"]
+
+
+def _stack_features(t) -> dict[str, DataFrame]:
+    """The usable pairs of each split with the features of both base models; topics and rates are learnt on the training years."""
+    from plenaria.ml import models
+
+    cols = ["pair_id", "persoon_id", "besluit_id", "fractie", "vote", "datum", "speech_position", "speech_text", "agendapunt_onderwerp", "split"]
+    topic = models.topic_text(F.col("besluit_tekst"), F.col("agendapunt_onderwerp"))
+    train, rest = _split(t)
+    both = cut(train.unionByName(rest).select(*cols, topic.alias("onderwerp")))
+    topics = models.topics(both.where("split = 'train'"), "onderwerp")
+    both = cut(topics.transform(both).select(*cols, "topic_cluster"))
+    train = both.where("split = 'train'")
+    cases = features.enrich_topics(both, "agendapunt_onderwerp", t("zaak"))
+    h = features.history(train, features.speaker_loyalty(train, both), "topic_cluster")
+    h = features.attach(h, cases, ["agendapunt_onderwerp"], {"kabinetsappreciatie": features.UNKNOWN, "zaak_soort": features.UNKNOWN})
+    h = features.basic(features.in_coalition(h, _coalition(t), "datum"))
+    h = cut(models.filled(h, ["fractie"], [*STRUCTURE, "speech_length", "n_voor", "n_tegen"], ["speech_text"]))
+    return {k: h.where(F.col("split") == k) for k in ("train", "val", "test")}
+
+
 @query()
 def model_stacked(t):
-    """Held-out scores of a logistic model over two others, fitted on the years between."""
+    """Scores on every usable pair of the test years: a logistic model over a text and a structural one, fitted on the years between.
+
+    The bases have the reference's sizes; words and party take the place of its transformer.
+    """
     from plenaria.ml import models
 
-    train, rest = _features(t)
-    one = models.logistic(["fractie"], ["speech_length", "n_voor", "n_tegen"], None, 10).fit(train)
-    two = models.boosted(["stemmings_soort"], NUMERIC, 5, 3).fit(train)
-    both = models.predicted(two, models.predicted(one, rest, "g1", "p1"), "g2", "p2").withColumns(models.stacking_inputs("p1", "p2"))
-    half = both.withColumn("part", F.pmod(F.xxhash64("pair_id"), F.lit(2)))
-    top = models.logistic(["fractie"], ["p1", "p2", "agree", "apart"], None, 10).fit(models.labelled(half.where("part = 0")))
-    return metrics.scores(models.predicted(top, half.where("part = 1")), "vote", "prediction_vote")
+    d = _stack_features(t)
+    train = models.labelled(d["train"])
+    text = models.logistic(["fractie"], ["speech_length", "n_voor", "n_tegen"], {"tekst": models.tf_idf("speech_text", "tekst")}).fit(train)
+    structure = models.boosted(KINDS, STRUCTURE, 500, 6).fit(train)
+
+    def based(x: DataFrame) -> DataFrame:
+        return models.predicted(text, models.predicted(structure, x, "g1", "p1"), "g2", "p2").withColumns(models.stacking_inputs("p1", "p2"))
+
+    top = models.logistic([], ["p1", "p2", "agree", "apart", "is_coalition", "party_domain_voor_rate", "topic_cluster"], None, 500).fit(models.labelled(cut(based(d["val"]))))
+    return metrics.scores(cut(models.predicted(top, based(d["test"])).select("pair_id", "vote", "prediction_vote")), "vote", "prediction_vote")
 
 
 @query()
