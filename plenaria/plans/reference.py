@@ -663,11 +663,12 @@ def model_stacked(t):
 
 @query()
 def topic_clusters(t):
-    """Size of every topic cluster."""
+    """Size of every topic cluster, over the decisions' texts and subjects."""
     from plenaria.ml import models
 
-    d = t("speech_vote_pairs").select("besluit_id", "agendapunt_onderwerp").distinct().withColumn("onderwerp", models.topic_text(F.col("agendapunt_onderwerp")))
-    return models.topics(d, "onderwerp", 10, 500).transform(d).groupBy("topic_cluster").agg(F.count("*").alias("n"))
+    topic = models.topic_text(F.col("besluit_tekst"), F.col("agendapunt_onderwerp"))
+    d = cut(t("speech_vote_pairs").select("besluit_id", "besluit_tekst", "agendapunt_onderwerp").distinct().withColumn("onderwerp", topic))
+    return models.topics(d, "onderwerp").transform(d).groupBy("topic_cluster").agg(F.count("*").alias("n"))
 
 
 @query()
