@@ -609,11 +609,12 @@ NUMERIC = ["speaker_loyalty", "speech_position", "party_domain_voor_rate", "part
 
 @query()
 def model_logistic(t):
-    """Held-out scores of the text and structure model."""
+    """Held-out scores of the text and structure model; words of the speech, words and pairs of words of the decision."""
     from plenaria.ml import models
 
     train, rest = _features(t)
-    m = models.logistic(["fractie"], NUMERIC, {"tekst": models.tf_idf("speech_text", "tekst", 2000)}, 20).fit(train)
+    texts = {"tekst": models.tf_idf("speech_text", "tekst"), "besluit": models.tf_idf("besluit_tekst", "besluit", 500, least=1.0, pairs=True)}
+    m = models.logistic(["fractie"], NUMERIC, texts).fit(cut(train))
     return metrics.scores(models.predicted(m, rest), "vote", "prediction_vote")
 
 
