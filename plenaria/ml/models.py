@@ -116,14 +116,18 @@ def contributions(model: PipelineModel, scored: DataFrame, means: list[float], v
     return scored.withColumn(out, F.zip_with(centred, c, lambda x, y: x * y))
 
 
-def with_scorer(df: DataFrame, text: Column, load: Callable[[], Callable[[list[str]], list[float]]], out: str = "p_text") -> DataFrame:
-    """Scores of any text model: ``load`` is called once in a task and gives a function over a batch of texts."""
+def with_scorer(df: DataFrame, text: Column, load: Callable[[], Callable[[list[str]], list]], out: str = "p_text", kind: str = "double") -> DataFrame:
+    """Scores of any text model: ``load`` is called once in a task and gives a function over a batch of texts.
 
-    @F.pandas_udf("double")
+    With ``kind`` 'array<double>' it gives a vector for each text (sentence embeddings), of any length.
+    """
+
+    @F.pandas_udf(kind)
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = load()
         for s in parts:
-            yield pd.Series(f(s.fillna("").tolist()), index=s.index, dtype="float64")
+            got = f(s.fillna("").tolist())
+            yield pd.Series(got, index=s.index, dtype="float64") if kind == "double" else pd.Series([[float(x) for x in v] for v in got], index=s.index, dtype="object")
 
     return df.withColumn(out, score(text))
 

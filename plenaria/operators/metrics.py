@@ -67,3 +67,10 @@ def reweighted(sure_of_truth: Column, before: Column, mastered: float = 0.3, lea
     """A sample's next weight: by how sure the model is of the true label, smoothed with its weight before."""
     now = F.when(sure_of_truth > 0.8, mastered).when(sure_of_truth < 0.4, struggling).otherwise(learning)
     return memory * before + (1 - memory) * now
+
+
+def normalised(df: DataFrame, weight: str) -> DataFrame:
+    """``weight`` divided by its mean over all rows, so that the weights keep their sum; all zero stays zero."""
+    mean = df.agg(F.avg(weight).alias("__mean"))
+    w = F.when(F.col("__mean") != 0, F.col(weight) / F.col("__mean")).otherwise(F.col(weight))
+    return df.crossJoin(F.broadcast(mean)).select(*[w.alias(c) if c == weight else F.col(c) for c in df.columns])  # one row
