@@ -1,8 +1,9 @@
 """Speech transcripts into clean, ordered speaker turns (problem 2).
 
-Method: timing, cues (labels within a text) and dialogue order are precedence constraints between
-segments; of conflicting ones the weaker are dropped, the rest is put in topological order, spans are
-cleaned and neighbouring segments of one speaker merged. Rows are parsed where they lie; a transcript
+Method: dialogue order and timing are precedence constraints between rows; of conflicting ones the
+weaker are dropped, the rest is put in topological order. Cues (labels within a text) split a row into
+segments, which keep their order in the row and are no constraints between rows. Spans are cleaned and
+neighbouring segments of one speaker merged. Rows are parsed where they lie; a transcript
 is ordered in chunks of its dialogue order, and only the ends of chunks meet, so a transcript with a
 third of all rows is no task of its own.
 """
@@ -31,7 +32,7 @@ MAX_PERSONS = 200_000
 CHUNK = 256
 
 # Weights of the constraints: which one gives way in a conflict.
-CUE, DIALOGUE, TIMING = 3, 2, 1
+DIALOGUE, TIMING = 2, 1
 
 _MARK = "\x01"
 _TIME = re.compile(r"\[t=\d+s\]|[\[(<]?\b\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\b[\])>]?(?:\s*-->)?")
