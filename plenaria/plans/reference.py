@@ -386,6 +386,7 @@ g AS (SELECT ev.*, coalesce(line.majority, 'Voor') AS baseline, abs(hash_less) A
 
 
 def _scored(t) -> DataFrame:
+    """Held-out rows with the baseline and ``sure``, a stand-in made of the pair's id: SQL has no model to compare a real one with."""
     train, rest = _split(t)
     g = features.party_baseline(train, rest.select("pair_id", "fractie", "vote", "speech_length"))
     return g.withColumn("sure", (F.col("pair_id") % 101) / 100.0)
@@ -393,6 +394,7 @@ def _scored(t) -> DataFrame:
 
 @query(f"""{_BASE}, e AS (SELECT vote, CASE WHEN sure >= 0.7 THEN CASE WHEN speech_length % 2 = 0 THEN 'Voor' ELSE 'Tegen' END ELSE baseline END AS e FROM g) SELECT vote, e AS ensemble, count(*) AS n FROM e GROUP BY ALL""")
 def two_stage(t):
+    """The override rule on all held-out rows; confidence and speech prediction are stand-ins (see ``_scored``), no text model is run."""
     speech = F.when(F.col("speech_length") % 2 == 0, "Voor").otherwise("Tegen")
     e = features.confident(_scored(t), F.col("sure"), speech, F.col("baseline"), 0.7)
     return e.groupBy("vote", "ensemble").agg(F.count("*").alias("n"))
@@ -419,6 +421,7 @@ def accuracy_by_party(t):
 @query(f"""{_BASE}, b AS (SELECT CASE WHEN sure > 0.8 THEN 'hoog' WHEN sure < 0.6 THEN 'laag' ELSE 'midden' END AS band, CASE WHEN vote = baseline THEN 1.0 ELSE 0.0 END AS h FROM g)
 SELECT band, count(*) AS n, round(avg(h), 6) AS accuracy, round(count(*) / sum(count(*)) OVER (), 6) AS aandeel FROM b GROUP BY band""")
 def confidence_bands(t):
+    """The bands on all held-out rows, of a stand-in confidence (see ``_scored``)."""
     b = metrics.confidence_bands(_scored(t), "sure", "vote", "baseline")
     return b.withColumns({c: F.round(c, 6) for c in ("accuracy", "aandeel")})
 
