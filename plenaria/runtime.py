@@ -82,11 +82,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def within(df: DataFrame, rows: int, size: int) -> list[Row] | None:
+    """All rows of a reference table, if it has at most ``rows`` of them and ``size`` characters in all; else None.
+
+    The size is added up on the cluster before a row is sent; the count stops after ``rows + 1``.
+    """
+    letters = sum((F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(letters), F.lit(0))).first()
+    return df.collect() if n <= rows and total <= size else None
+
+
 def bounded(df: DataFrame, rows: int, what: str) -> list[Row]:
     """All rows of a reference table, which must have at most ``rows``; else an error, never a cut."""
     got = df.limit(rows + 1).collect()
     if len(got) > rows:
-        raise BoundExceeded(f"{what} has more than {rows} rows; raise the bound or use the shuffled form")
+        raise BoundExceeded(f"{what} has more than {rows} rows; raise the bound")
     return got
 
 
@@ -96,8 +106,3 @@ def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
     The count stops after ``rows + 1`` rows, so it costs nothing on a large table.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def fit_partitions(df: DataFrame, per_task_rows: int, rows: int) -> int:
-    """Number of partitions so that a task has about ``per_task_rows`` of ``rows`` rows."""
-    return max(1, -(-rows // per_task_rows))
