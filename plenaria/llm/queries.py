@@ -27,7 +27,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p2_segments(spark: SparkSession, root: str) -> DataFrame:
     """The clean text, segment by segment in order, with its speaker as far as the chunk tells."""
-    return turns.ordered_segments(*_transcripts(spark, root)).drop("speech_id")
+    return turns.ordered(*_transcripts(spark, root)).drop("speech_id")
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

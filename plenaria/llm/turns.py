@@ -1,17 +1,18 @@
 """Speech transcripts into clean, ordered speaker turns (problem 2).
 
-Method: dialogue order and timing are precedence constraints between rows; of conflicting ones the
-weaker are dropped, the rest is put in topological order. Cues (labels within a text) split a row into
-segments, which keep their order in the row and are no constraints between rows. Spans are cleaned and
-neighbouring segments of one speaker merged. Rows are parsed where they lie; a transcript
-is ordered in chunks of its dialogue order, and only the ends of chunks meet, so a transcript with a
-third of all rows is no task of its own.
+Method: rows are parsed where they lie into segments, by the labels within their texts. The segments of a chunk of a
+transcript are the nodes of a graph of precedence: dialogue order (volgnr, then place in the text), cues (time codes
+within the text) and timing (the start of a row) each say what comes before what. Constraints are taken by weight
+into an order that is kept topological; one that contradicts those taken before is dropped. Spans are cleaned and
+neighbouring segments of one speaker merged. A transcript is ordered in chunks of its dialogue order, and only the
+ends of chunks meet, so a transcript with a third of all rows is no task of its own.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,14 +32,14 @@ MAX_PERSONS = 200_000
 #: Places of the dialogue order in one chunk.
 CHUNK = 256
 
-# Weights of the constraints: which one gives way in a conflict.
-DIALOGUE, TIMING = 2, 1
+#: Weights of the constraints (dialogue, cue, timing): the lighter one gives way in a conflict.
+WEIGHTS = (4, 2, 1)
 
 _MARK = "\x01"
 _TIME = re.compile(r"\[t=\d+s\]|[\[(<]?\b\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\b[\])>]?(?:\s*-->)?")
 _NOTE = re.compile(
-    r"\[[^\]\n]{1,120}\]|\{[^}\n]{1,120}\}|«[^»\n]{1,120}»|<[^>\n]{1,120}>|(?<![*\w])\*(?!\*)[^*\n]{1,60}\*(?!\*)|--\s[^\n]{1,60}?\s--"
-    r"|(?:(?<=[.!?…:\n\x01\])>}])|\A)\s*\([^()\n]{1,160}\)"
+    r"\[[^\]\n]++\]|\{[^}\n]++\}|«[^»\n]++»|<[^>\n]++>|(?<![*\w])\*(?!\*)[^*\n]++\*(?!\*)|--\s(?:[^\n-]|-(?!-))+?\s--"
+    r"|(?:(?<=[.!?…:\n\x01\])>}])|\A)\s*\([^()\n]++\)"
 )
 # Sounds that are no words.
 _FILLER = re.compile(r"(?i)(?<!\w)(?:e+h+m*|u+h+m*|u+m+|h+m+|tja)(?!\w)\s*(?:\.\.\.|…|[,;.](?=\s|$))?")
@@ -47,13 +48,17 @@ _BREAK = re.compile(r"(?<=[.!?…\])>}»*])\s+|(?<=--)\s+")
 # How a chair and other speakers are announced.
 _CHAIR = re.compile(r"(?:mijnheer |mevrouw )?(?:de )?(?:(?:waarnemend|plaatsvervangend|fungerend) )?(?:voorzitter|voorz\.?|vz\.?)\s*(?:\(([^)]*)\))?", re.I)
 _TITLE = re.compile(r"(?:de heer|dhr\.?|heer|mevrouw|mevr\.?|mw\.?|spreker|de minister|minister|de staatssecretaris|staatssecretaris|het lid)\s+", re.I)
-_HEAD = re.compile(
-    r"\s*(?:\*\*(?P<bold>[^*\n:]{2,80})\*\*\s*(?P<party>\([^)\n]{1,80}\))?\s*:(?=\s|$)"
-    r"|\[(?P<square>[^\]\n:]{3,100})\](?=\s|$)"
-    r"|(?P<plain>[^:\n<>\[\]{}«»?!\x01]{2,110}?)\s*(?::|>{1,2})(?=\s|$|\x01)"
-    r"|(?P<dash>(?:(?:de )?(?:voorzitter|voorz\.?|vz\.?)|(?:minister|staatssecretaris)\s[^:\n\x01–-]{2,60}?))\s[-–]\s)",
-    re.I,
-)
+
+
+def label_patterns(longest: int) -> list[re.Pattern]:
+    """Forms of labels of up to ``longest`` characters at the start of a passage, the label in group 1 (and its party in 2)."""
+    chair = r"(?:(?:de )?(?:voorzitter|voorz\.?|vz\.?)"
+    return [re.compile(x, re.I) for x in (
+        rf"\s*\*\*([^*\n:]{{2,{longest}}})\*\*\s*(\([^)\n]{{1,{longest}}}\))?\s*:(?=\s|$)",
+        rf"\s*\[([^\]\n:]{{3,{longest}}})\](?=\s|$)",
+        rf"\s*([^:\n<>\[\]{{}}«»?!\x01]{{2,{longest}}}?)\s*(?::|>{{1,2}})(?=\s|$|\x01)",
+        rf"\s*({chair}|(?:minister|staatssecretaris)\s[^:\n\x01–-]{{2,{longest}}}?))\s[-–]\s",
+    )]
 
 
 class People:
@@ -90,13 +95,17 @@ class People:
                     self.first["".join(words(n)) + i + s].add(pid)
         self.infixes = sorted(self.by_infix, key=len, reverse=True)
         self.given = {"".join(words(n)) for p in persons for n in (p[3],) if n}
+        named = [" ".join(x for x in (p[3], p[4], p[1], p[2]) if x) for p in persons]
+        self.most_words = max((len(words(n)) for n in named), default=0) + 1
+        # a label holds a name, a party and an office
+        self.heads = label_patterns(max(110, 60 + max(map(len, named), default=0) + max((len(n) for _, n in parties if n), default=0)))
         self.announced = lru_cache(maxsize=100_000)(self._announced)
         self.described = lru_cache(maxsize=100_000)(self._described)
 
     def named(self, name: str, party: str | None = None) -> tuple[str, ...]:
         """Ids of the persons that ``name`` may be, nothing if it is none; a party decides between several."""
         tokens = words(name)
-        if not tokens or len(tokens) > 7:
+        if not tokens or len(tokens) > self.most_words:
             return ()
         form = "".join(tokens)
         found, near = self.full.get(form) or self.first.get(form), False
@@ -189,124 +198,191 @@ def has_words(cleaned: str) -> bool:
     return re.search(r"\w", cleaned) is not None
 
 
-def segments(text: str | None, row_speaker: str | None, people: People) -> list[tuple[str | None, str]]:
-    """(speaker, clean text) in order of place; speaker None: whoever spoke before."""
+def seconds(code: str) -> int:
+    """Seconds since midnight of a time code: a count of them, hours and minutes with or without seconds, or minutes of the day."""
+    n = [int(x) for x in re.findall(r"\d+", code)]
+    if len(n) == 1:
+        return n[0]
+    if len(n) >= 3 and code.count(":") == 2:
+        return n[0] * 3600 + n[1] * 60 + n[2]
+    return n[0] * 60 + n[1] if n[0] >= 24 else n[0] * 3600 + n[1] * 60
+
+
+def segments(text: str | None, row_speaker: str | None, people: People) -> list[tuple[str | None, str, int | None]]:
+    """(speaker, clean text, cue) in order of place; speaker None: whoever spoke before. A cue is the first time code of the segment, or right before its label."""
     if not text:
         return []
-    t = _TIME.sub(_MARK, text)
+    codes: list[str] = []
+    t = _TIME.sub(lambda m: codes.append(m[0]) or _MARK, text.replace(_MARK, " "))
     cuts: list[tuple[int, int, str | None]] = [(0, 0, row_speaker)]
     at = 0
     places = sorted({0, *(m.end() for m in re.finditer(r"[\n\x01]", t)), *(m.end() for m in _BREAK.finditer(t))})
     for place in places:
         if place < at:
             continue
-        m = _HEAD.match(t, place)
-        if not m:
-            continue
-        head = m["bold"] + (m["party"] or "") if m["bold"] else m["square"] or m["plain"] or m["dash"]
-        who = people.announced(head)
-        if who is not None:
-            at = m.end()
-            cuts.append((m.start(), at, who))
+        for form in people.heads:
+            if (m := form.match(t, place)) and (who := people.announced("".join(x for x in m.groups() if x))) is not None:
+                at = m.end()
+                # a time code right before a label belongs to what the label opens
+                cuts.append((len(t[: m.start()].rstrip(f" \n{_MARK}")), at, who))
+                break
+    marks = [m.start() for m in re.finditer(_MARK, t)]
     out = []
-    for (_, begin, who), (end, _, _) in zip(cuts, [*cuts[1:], (len(t), 0, None)]):
+    for (first, begin, who), (_, end, _) in zip(cuts, [*((0, c[0], None) for c in cuts[1:]), (0, len(t), None)]):
         if begin < end:
             body = re.sub(r"\s+", " ", _FILLER.sub(" ", _NOTE.sub(" ", t[begin:end]).replace(_MARK, " "))).strip(" ,;")
             if has_words(body):
-                out.append((who, body))
+                k = bisect_left(marks, first)
+                out.append((who, body, seconds(codes[k]) if k < len(marks) and marks[k] < end else None))
     return out
 
 
-_PARSED = "verslag_id string, chunk long, volgnr long, speech_id long, start string, seq int, who string, body string"
+_PARSED = "verslag_id string, chunk long, volgnr long, speech_id long, start int, seq int, who string, cue int, body string"
+#: Rows without volgnr that no time places are in chunks before all others.
+FIRST = 1 << 40
 
 
-def chunk_of() -> Column:
-    """Number of the chunk of a row: by its volgnr, without one by the minute of its start, without either by its id.
+def started(start: Column) -> Column:
+    """Seconds since midnight of a row's start; null if unreadable."""
+    part = [F.regexp_extract(F.coalesce(start, F.lit("")), r"^\s*(\d{1,2}):(\d\d)(?::(\d\d))?", k).try_cast("int") for k in (1, 2, 3)]
+    return part[0] * 3600 + part[1] * 60 + F.coalesce(part[2], F.lit(0))
 
-    Chunks of rows without volgnr come before all others, so they too are spread over tasks.
-    """
-    start = F.regexp_extract(F.coalesce("speech_start", F.lit("")), r"^\s*(\d{1,2}):(\d\d)", 1), F.regexp_extract(F.coalesce("speech_start", F.lit("")), r"^\s*(\d{1,2}):(\d\d)", 2)
-    minute = start[0].try_cast("long") * 60 + start[1].try_cast("long")
-    by_id = F.floor(F.coalesce("speech_id", F.lit(0)) / CHUNK).cast("long") - F.lit(1 << 40)
-    return F.when(F.col("volgnr").isNotNull(), F.floor(F.col("volgnr") / CHUNK).cast("long") + 10_000).otherwise(F.coalesce(minute, by_id))
 
+def with_chunks(speeches: DataFrame) -> DataFrame:
+    """``speeches`` with ``__start`` (seconds) and ``__chunk``: by volgnr; a row without it lies with the numbered row of its transcript that began last before it.
 
-def parse(speeches: DataFrame, people: tuple, texts: bool) -> DataFrame:
+    Rows without volgnr and time, or before any numbered one, are in chunks before all others, by minute or id.
+    """
+    d = speeches.withColumn("__start", started(F.col("speech_start")))
+    early = F.coalesce(F.floor(F.col("__start") / 60).cast("long"), F.floor(F.coalesce("speech_id", F.lit(0)) / CHUNK).cast("long")) - FIRST
+    chunk = F.floor(F.col("volgnr") / CHUNK).cast("long")
+    loose = d.where("volgnr is null and __start is not null").select("verslag_id", "__start").distinct()
+    if loose.isEmpty():
+        return d.withColumn("__chunk", F.coalesce(chunk, early))
+    loose = cut(loose)
+    with_loose = d.where("volgnr is not null and __start is not null").join(loose.select(F.col("verslag_id").alias("__v")).distinct(), F.col("verslag_id").eqNullSafe(F.col("__v")), "left_semi")
+    both = with_loose.groupBy("verslag_id", "__start").agg(F.max("volgnr").alias("n")).unionByName(loose.withColumn("n", F.lit(None).cast("int")))
+    near = carry(both.groupBy("verslag_id", "__start").agg(F.max("n").alias("n")).withColumn("__hour", F.floor(F.col("__start") / 900)), ["verslag_id"], "__hour", ["__start"], {"near": "n"})
+    near = near.select(F.col("verslag_id").alias("__v"), F.col("__start").alias("__s"), F.floor(F.col("near") / CHUNK).cast("long").alias("__near"))
+    placed = d.join(near, F.col("verslag_id").eqNullSafe(F.col("__v")) & (F.col("__start") == F.col("__s")) & F.col("volgnr").isNull(), "left")
+    return placed.withColumn("__chunk", F.coalesce(chunk, "__near", early)).drop("__v", "__s", "__near")
+
+
+def parse(chunked: DataFrame, people: tuple, texts: bool) -> DataFrame:
     """Segments with words of every row, where the row lies (no shuffle)."""
-    columns = ["speech_id", "verslag_id", "volgnr", "persoon_id", "verslagnaam", "achternaam", "voornaam", "fractie", "is_voorzitter", "speech_start", "speech_text"]
+    columns = ["speech_id", "verslag_id", "volgnr", "persoon_id", "verslagnaam", "achternaam", "voornaam", "fractie", "is_voorzitter", "__start", "speech_text", "__chunk"]
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = People(*people)
         for d in parts:
             rows = []
             d = d.astype(object).where(d.notna(), None)
-            for sid, vid, nr, pid, full, surname, given, party, chair, start, text, chunk in d[[*columns, "__chunk"]].itertuples(index=False):
+            for sid, vid, nr, pid, full, surname, given, party, chair, start, text, chunk in d[columns].itertuples(index=False):
                 own = known.described(pid, full, surname, given, party) or ("!" if chair else None)
-                for k, (who, body) in enumerate(segments(text, own, known)):
-                    rows.append((vid, chunk, nr, sid, start, k, who, body if texts else None))
+                for k, (who, body, cue) in enumerate(segments(text, own, known)):
+                    rows.append((vid, chunk, nr, sid, start, k, who, cue, body if texts else None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PARSED.split(", ")], dtype=object)
 
-    return speeches.select(*columns, chunk_of().alias("__chunk")).mapInPandas(of, _PARSED)
+    return chunked.select(*columns).mapInPandas(of, _PARSED)
+
+
+class Precedence:
+    """A topological order that constraints are added to one by one (after Pearce and Kelly): what agrees with the order costs nothing,
+    what does not moves only the nodes between its ends, and what would close a circle is refused."""
+
+    def __init__(self, nodes: int):
+        self.at = list(range(nodes))  # node: place
+        self.after: list[list[int]] = [[] for _ in range(nodes)]
+        self.before: list[list[int]] = [[] for _ in range(nodes)]
+
+    def add(self, a: int, b: int) -> bool:
+        if a == b:
+            return False
+        if self.at[a] > self.at[b]:
+            later = self._reach(b, self.after, lambda p: p <= self.at[a])
+            if a in later:
+                return False
+            earlier = self._reach(a, self.before, lambda p: p >= self.at[b])
+            moved = sorted(earlier, key=self.at.__getitem__) + sorted(later, key=self.at.__getitem__)
+            for x, p in zip(moved, sorted(self.at[x] for x in moved)):
+                self.at[x] = p
+        self.after[a].append(b)
+        self.before[b].append(a)
+        return True
+
+    def _reach(self, start: int, edges: list[list[int]], near) -> set[int]:
+        seen, stack = {start}, [start]
+        while stack:
+            for y in edges[stack.pop()]:
+                if y not in seen and near(self.at[y]):
+                    seen.add(y)
+                    stack.append(y)
+        return seen
 
 
-def topological(rows: list[tuple]) -> list[int]:
-    """Places of ``rows`` (volgnr or None, start or None, speech id) in the order that the constraints give.
+def topological(nodes: list[tuple], weights: tuple[int, int, int] = WEIGHTS) -> list[int]:
+    """Places of ``nodes`` (volgnr, row, seq, cue, start; the row any mark of it, the rest may be None) in the order that the constraints give.
 
-    Dialogue order binds rows with different volgnr, timing rows with different start. Constraints are
-    taken by weight, and one that contradicts those taken before is dropped. Free rows go by
-    (volgnr, start, id).
+    Dialogue: what has a lower volgnr, and within a row a lower seq, comes before. Cue: a segment with an
+    earlier time code does. Timing: the opening of a row that starts earlier does. Free nodes go by
+    (volgnr, start, row, seq).
     """
-    n = len(rows)
-    rank = sorted(range(n), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][1] is None, rows[i][1] or "", rows[i][2] is None, rows[i][2] or 0))
-    numbers = [r[0] for r in rows]
-    if None not in numbers and len(set(numbers)) == n:
-        return rank  # dialogue order alone is total; every timing constraint agrees or is dropped
-    edges: list[tuple[int, int, int]] = []
-    nodes = n  # a node between two levels stands for all pairs of theirs
-    for weight, field in ((DIALOGUE, 0), (TIMING, 1)):
-        levels: dict = defaultdict(list)
-        for i in range(n):
-            if rows[i][field] is not None:
-                levels[rows[i][field]].append(i)
-        keys = sorted(levels)
-        for a, b in zip(keys, keys[1:]):
-            edges += [(weight, x, nodes) for x in levels[a]] + [(weight, nodes, y) for y in levels[b]]
-            nodes += 1
-    after: dict[int, set[int]] = defaultdict(set)
-
-    def reaches(a: int, b: int) -> bool:
-        stack, seen = [a], {a}
-        while stack:
-            x = stack.pop()
-            if x == b:
-                return True
-            for y in after[x] - seen:
-                seen.add(y)
-                stack.append(y)
-        return False
-
-    before = [0] * nodes
-    for _, a, b in sorted(edges, key=lambda e: -e[0]):
-        if b not in after[a] and not reaches(b, a):
-            after[a].add(b)
-            before[b] += 1
+    n = len(nodes)
+    rank = sorted(range(n), key=lambda i: tuple((x is None, x or 0) for x in (nodes[i][0], nodes[i][4], nodes[i][1], nodes[i][2])))
     place = {i: k for k, i in enumerate(rank)}
-    ready = [(place.get(i, -1), i) for i in range(nodes) if not before[i]]
+
+    def levels(key, of: list[int]) -> list[list[int]]:
+        by: dict = defaultdict(list)
+        for i in of:
+            if key(i) is not None:
+                by[key(i)].append(i)
+        return [by[k] for k in sorted(by)]
+
+    opening: dict = {}
+    rows: dict = defaultdict(list)
+    for i in rank:
+        rows[nodes[i][1]].append(i)
+        opening.setdefault(nodes[i][1], i)
+    first = list(opening.values())
+    chains = [(weights[0], levels(lambda i: nodes[i][2], r)) for r in rows.values() if len(r) > 1]
+    chains += [(weights[0], levels(lambda i: nodes[i][0], rank)), (weights[1], levels(lambda i: nodes[i][3], rank)), (weights[2], levels(lambda i: nodes[i][4], first))]
+    # a joint between two levels stands for all pairs of theirs; it is placed behind the level before it
+    steps, joints = [], []
+    for weight, chain in chains:
+        for a, b in zip(chain, chain[1:]):
+            joint = n + len(joints)
+            joints.append(max(place[i] for i in a) + 0.5)
+            steps.append((weight, a, joint, b))
+    whole = sorted(range(n + len(joints)), key=lambda x: (place[x] if x < n else joints[x - n], x))
+    number = {x: k for k, x in enumerate(whole)}
+    order = Precedence(len(whole))
+    for _, a, joint, b in sorted(steps, key=lambda s: -s[0]):
+        for x in a:
+            order.add(number[x], number[joint])
+        for y in b:
+            order.add(number[joint], number[y])
+    # of the orders that keep all that was taken, the one that leaves free nodes by rank
+    open_ = [len(x) for x in order.before]
+    ready = [(place.get(x, -1), x) for x in whole if not open_[number[x]]]
     heapq.heapify(ready)
     out = []
     while ready:
-        i = heapq.heappop(ready)[1]
-        if i < n:
-            out.append(i)
-        for j in after[i]:
-            before[j] -= 1
-            if not before[j]:
-                heapq.heappush(ready, (place.get(j, -1), j))
+        x = heapq.heappop(ready)[1]
+        if x < n:
+            out.append(x)
+        for k in order.after[number[x]]:
+            open_[k] -= 1
+            if not open_[k]:
+                heapq.heappush(ready, (place.get(whole[k], -1), whole[k]))
     return out
 
 
+def _arrow(schema: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[c.split()[1]]) for c in schema.split(", ")])
+
+
 _ORDERED = "verslag_id string, chunk long, place long, volgnr long, speech_id long, seq int, who string, run long, body string"
-_ORDERED_ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[c.split()[1]]) for c in _ORDERED.split(", ")])
+_RUNS = "verslag_id string, chunk long, run long, start_volgnr long, who string"
 
 
 def _decide(who: str | None, chair: str | None, present: set[str]) -> str | None:
@@ -321,26 +397,30 @@ def _decide(who: str | None, chair: str | None, present: set[str]) -> str | None
     return who
 
 
-def _order(group: pa.Table) -> pa.Table:
-    """A chunk of one transcript in order, its speakers decided, with the number of the run within the chunk."""
-    rows = group.to_pylist()
-    chair, present = rows[0]["chair"], set(rows[0]["present"] or ())
-    by: dict = {}
-    for r in rows:  # a row delivered twice counts once
-        by.setdefault((r["speech_id"], r["volgnr"]), {})[r["seq"]] = r
-    speech = list(by)
-    starts = [next(iter(by[s].values()))["start"] for s in speech]
-    out: list[dict] = []
-    run, last = 0, None
-    for i in topological([(s[1], t, s[0]) for s, t in zip(speech, starts)]):
-        for seq in sorted(by[speech[i]]):
-            r = by[speech[i]][seq]
+def _order(weights: tuple[int, int, int], runs: bool):
+    """A chunk of one transcript in order, its speakers decided: its segments, or only its runs of one speaker."""
+    schema = _arrow(_RUNS if runs else _ORDERED)
+
+    def of(group: pa.Table, context: pa.Table) -> pa.Table:
+        chair, present = next(((c["chair"], set(c["present"] or ())) for c in context.to_pylist()), (None, set()))
+        # a row delivered twice counts once
+        nodes = list({(r["speech_id"], r["volgnr"], r["seq"]): r for r in group.to_pylist()}.values())
+        mark = {k: i for i, k in enumerate(sorted({(r["speech_id"], r["volgnr"]) for r in nodes}, key=lambda k: tuple((x is None, x or 0) for x in k)))}
+        out: list[dict] = []
+        run, last = 0, None
+        for place, i in enumerate(topological([(r["volgnr"], mark[r["speech_id"], r["volgnr"]], r["seq"], r["cue"], r["start"]) for r in nodes], weights)):
+            r = nodes[i]
             who = _decide(r["who"], chair, present) or last
             if who != last and out:
                 run += 1
             last = who
-            out.append({c: r[c] for c in ("verslag_id", "chunk", "volgnr", "speech_id", "seq", "body")} | {"place": len(out), "who": who, "run": run})
-    return pa.Table.from_pylist(out, schema=_ORDERED_ARROW)
+            if not runs:
+                out.append({c: r[c] for c in ("verslag_id", "chunk", "volgnr", "speech_id", "seq", "body")} | {"place": place, "who": who, "run": run})
+            elif not out or out[-1]["run"] != run:
+                out.append({"verslag_id": r["verslag_id"], "chunk": r["chunk"], "run": run, "start_volgnr": r["volgnr"], "who": who})
+        return pa.Table.from_pylist(out, schema=schema)
+
+    return of
 
 
 def people_of(persoon: DataFrame, membership: DataFrame, fractie: DataFrame) -> tuple:
@@ -350,42 +430,34 @@ def people_of(persoon: DataFrame, membership: DataFrame, fractie: DataFrame) ->
     return [tuple(r) for r in persons], with_english(canonical_names(fractie, "Id", ["Afkorting", "NaamNL", "NaamEN"])), [tuple(r) for r in members]
 
 
-def ordered_segments(speeches: DataFrame, people: tuple, texts: bool = True) -> DataFrame:
-    """Segments of all transcripts in order: verslag_id, chunk, place, volgnr, seq, speaker, body; speaker null: unknown.
+def ordered(speeches: DataFrame, people: tuple, weights: tuple[int, int, int] = WEIGHTS, runs: bool = False, texts: bool = True) -> DataFrame:
+    """Segments of all transcripts in order: verslag_id, chunk, place, volgnr, seq, speaker, run, body; or only the ``runs`` of one speaker in a chunk.
 
-    Rows without text or words give none. Rows without volgnr go to the start of their transcript, by
-    their time. A label that may be several persons is the one of them who is named in the same
-    transcript, if that is one.
+    Speaker null: unknown. Rows without text or words give none. A label that may be several persons is the one of
+    them who is named in the same transcript, if that is one. What is known of a transcript goes to each of its chunks once.
     """
+    chunked = with_chunks(speeches)
     pid = F.lower(F.trim("persoon_id"))
     # both buffers hold distinct persons, whatever the rows of a transcript
     whole = speeches.groupBy(F.col("verslag_id").alias("__v")).agg(F.mode(F.when(F.col("is_voorzitter"), pid), True).alias("chair"), F.collect_set(pid).alias("present"))
-    per = speeches.select("verslag_id", chunk_of().alias("chunk")).distinct()
+    per = chunked.select("verslag_id", F.col("__chunk").alias("chunk")).distinct()
     context = per.join(whole, F.col("verslag_id").eqNullSafe(F.col("__v"))).drop("__v")
-    context = context.select(F.col("verslag_id").alias("__v"), F.col("chunk").alias("__c"), "chair", "present")
-    parts = parse(speeches, people, texts)
-    joined = parts.join(context, F.col("verslag_id").eqNullSafe(F.col("__v")) & (F.col("chunk") == F.col("__c")), "left").drop("__v", "__c")
-    return joined.groupBy("verslag_id", "chunk").applyInArrow(_order, _ORDERED)
+    parts = parse(chunked, people, texts)
+    return parts.groupBy("verslag_id", "chunk").cogroup(context.groupBy("verslag_id", "chunk")).applyInArrow(_order(weights, runs), _RUNS if runs else _ORDERED)
 
 
-def turns(segments_in_order: DataFrame) -> DataFrame:
-    """Turns: verslag_id, persoon_id, start_volgnr, and the segments they hold.
+def turns(runs: DataFrame) -> DataFrame:
+    """``runs`` of known speakers with ``persoon_id`` and whether they begin a turn.
 
-    Runs are merged within chunks first; over the borders of chunks the speaker is carried on, so a
-    turn that goes on in the next chunk is one turn.
+    Over the borders of chunks the speaker is carried on, so a turn that goes on in the next chunk is one turn.
     """
-    runs = segments_in_order.groupBy("verslag_id", "chunk", "run").agg(
-        F.min_by("volgnr", "place").alias("start_volgnr"), F.first("who").alias("who"), F.count("*").alias("segments"),
-        F.sum(F.coalesce(F.size(F.split("body", " ")), F.lit(0))).alias("words"),
-    )
-    runs = cut(runs)
-    known = carry(runs, ["verslag_id"], "chunk", ["chunk", "run"], {"persoon_id": "who"})
+    known = carry(cut(runs), ["verslag_id"], "chunk", ["chunk", "run"], {"persoon_id": "who"})
     known = known.where("persoon_id is not null")
     known = carry(known, ["verslag_id"], "chunk", ["chunk", "run"], {"before": "persoon_id"}, inclusive=False)
     return known.withColumn("begins", ~F.col("before").eqNullSafe(F.col("persoon_id")))
 
 
-def found(speeches: DataFrame, persoon: DataFrame, membership: DataFrame, fractie: DataFrame) -> DataFrame:
+def found(speeches: DataFrame, persoon: DataFrame, membership: DataFrame, fractie: DataFrame, weights: tuple[int, int, int] = WEIGHTS) -> DataFrame:
     """Distinct (verslag_id, start_volgnr, persoon_id) of all turns."""
-    t = turns(ordered_segments(speeches, people_of(persoon, membership, fractie), texts=False))
+    t = turns(ordered(speeches, people_of(persoon, membership, fractie), weights, runs=True, texts=False))
     return t.where("begins").select("verslag_id", F.col("start_volgnr").cast("int").alias("start_volgnr"), "persoon_id").distinct()

@@ -33,10 +33,20 @@ def test_labels(people, head):
 def test_segments(people):
     text = "(09:30:03) Graag een antwoord. <09:30:10.872> Voorzitter -\nWil Eh... de Kamer dit? [applaus]\n[590:06] Haverselaar - GRN:\nDat (nog) niet. Uhm, De vraag is simpel: ja?\n\n[Orliepen, CLD]\nHm. Zeker."
     assert turns.segments(text, "p2", people) == [
-        ("p2", "Graag een antwoord."), ("!", "Wil de Kamer dit?"), ("p1", "Dat (nog) niet. De vraag is simpel: ja?"), ("p3", "Zeker."),
+        ("p2", "Graag een antwoord.", 34203), ("!", "Wil de Kamer dit?", 34210), ("p1", "Dat (nog) niet. De vraag is simpel: ja?", 35406), ("p3", "Zeker.", None),
     ]
 
 
+def test_time_codes():
+    assert [turns.seconds(c) for c in ("[t=35467s]", "(09:30:03)", "<09:58:51.633>", "10:09:46,212 -->", "[606:46]", "09:30")] == [35467, 34203, 35931, 36586, 36406, 34200]
+
+
+def test_long_notes_and_names_are_no_speech(people):
+    assert turns.segments("Ja. [" + "applaus en rumoer " * 40 + "] Nee. (" + "De leden verlaten de zaal. " * 20 + ")", "p1", people) == [("p1", "Ja. Nee.", None)]
+    long = [("p7", "van der", "Bosch", "Anna", "Anna Maria Petronella Johanna Cornelia Wilhelmina", None)]
+    assert turns.People(long, [], []).named("Anna Maria Petronella Johanna Cornelia Wilhelmina van der Bosch") == ("p7",)
+
+
 @pytest.mark.parametrize("text", [None, "", "  ", "10:00:46", "[t=35467s]", "* applaus *", "Eh, eh...", "[zucht] Uhm...", "09:36:39 [schorsing van 5 minuten]", "De voorzitter: Hm.", "(De bel wordt geluid.)", "-- stilte --"])
 def test_passages_without_words(people, text):
     assert turns.segments(text, "p1", people) == []
@@ -47,22 +57,43 @@ def test_very_long_text(people):
     assert len(turns.segments("woord " * 100_000, "p1", people)) == 1
 
 
-def test_order_keeps_dialogue_and_drops_contradicting_times():
-    rows = [(2, "10:00", 1), (1, "10:05", 2), (3, "09:00", 3)]
-    assert turns.topological(rows) == [1, 0, 2]
-    rows = [(None, "10:02", 9), (1, "10:00", 1), (2, "10:04", 2), (3, None, 3)]
-    assert turns.topological(rows) == [1, 0, 2, 3]
-    assert turns.topological([]) == [] and turns.topological([(None, None, None)]) == [0]
+def test_order_takes_constraints_by_weight():
+    """Nodes are (volgnr, row, seq, cue, start)."""
+    a, b, c = (1, 0, 0, 300, 100), (2, 1, 0, 200, 200), (3, 2, 0, 100, 50)
+    assert turns.topological([c, a, b]) == [1, 2, 0]  # dialogue first; all else contradicts it or agrees
+    assert turns.topological([c, a, b], (1, 4, 2)) == [0, 2, 1]  # cues first
+    assert turns.topological([c, a, b], (1, 2, 4)) == [0, 1, 2]  # starts first
+    # without volgnr, cues decide where they speak, starts elsewhere
+    assert turns.topological([(None, 0, 0, None, 30), (None, 1, 0, 5, 20), (None, 2, 0, 9, 10)]) == [1, 2, 0]
+    # an unnumbered row goes where its time lies
+    assert turns.topological([(None, 9, 0, None, 102), (1, 1, 0, None, 100), (2, 2, 0, None, 104), (3, 3, 0, None, None)]) == [1, 0, 2, 3]
+    assert turns.topological([]) == [] and turns.topological([(None, 0, 0, None, None)]) == [0]
+
 
+def test_place_in_a_row_holds_against_cues():
+    assert turns.topological([(1, 0, 0, 500, 10), (1, 0, 1, 400, None), (1, 0, 2, 600, None)]) == [0, 1, 2]
 
-def test_any_order_respects_volgnr():
+
+def test_any_order_keeps_dialogue_and_all_that_does_not_contradict():
     g = random.Random(1)
-    for _ in range(60):
-        rows = [(g.choice([None, *range(6)]), g.choice([None, "10:0%d" % g.randrange(9)]), n) for n in range(g.randrange(12))]
-        out = turns.topological(rows)
-        assert sorted(out) == list(range(len(rows)))
-        seen = [rows[i][0] for i in out if rows[i][0] is not None]
-        assert seen == sorted(seen)
+    for _ in range(80):
+        nodes = [(g.choice([None, *range(6)]), row, seq, g.choice([None, g.randrange(9)]), g.choice([None, g.randrange(9)])) for row in range(g.randrange(9)) for seq in range(g.choice([1, 1, 2, 3]))]
+        nodes = [(next(x[0] for x in nodes if x[1] == n[1]), *n[1:]) for n in nodes]
+        out = turns.topological(nodes)
+        assert sorted(out) == list(range(len(nodes)))
+        numbers = [nodes[i][0] for i in out if nodes[i][0] is not None]
+        assert numbers == sorted(numbers)
+        for row in {n[1] for n in nodes}:
+            assert [nodes[i][2] for i in out if nodes[i][1] == row] == sorted(n[2] for n in nodes if n[1] == row)
+        free = [(None, n[1], 0, n[3], None) for n in nodes]
+        cues = [free[i][3] for i in turns.topological(free) if free[i][3] is not None]
+        assert len({n[1] for n in free}) < len(free) or cues == sorted(cues)
+
+
+def test_precedence_refuses_circles():
+    o = turns.Precedence(4)
+    assert o.add(3, 0) and o.add(0, 2) and o.add(2, 1) and not o.add(1, 3) and not o.add(2, 2)
+    assert o.at[3] < o.at[0] < o.at[2] < o.at[1]
 
 
 SPEECH = "speech_id long, verslag_id string, volgnr int, persoon_id string, verslagnaam string, achternaam string, voornaam string, fractie string, is_voorzitter boolean, speech_start string, speech_text string, who string"
@@ -102,16 +133,25 @@ def test_a_turn_over_many_chunks_is_one(spark):
     assert found(spark, rows) == [("v", 1, "p1"), ("v", 9000, "p2")]
 
 
-def test_rows_without_volgnr_come_first_by_their_time(spark):
-    def at(i, start, pid):
-        return (i, "v", None, pid, None, None, None, None, None, start, "Woorden.", "x")
+def at(i, nr, start, pid, text="Woorden."):
+    return (i, "v", nr, pid, None, None, None, None, None, start, text, "x")
+
 
-    rows = [row(1, 1, "Verder."), at(2, "10:05:00", "p2"), at(3, "09:00:00", "p1"), at(4, None, "p3"), at(5, "onleesbaar", "p4")]
-    s = turns.ordered_segments(spark.createDataFrame(rows, SPEECH), turns.people_of(*frames(spark)))
-    assert [r.speech_id for r in s.orderBy("chunk", "place").collect()][2:] == [3, 2, 1]
+def test_rows_without_volgnr_lie_where_their_time_says(spark):
+    rows = [at(1, 1, "10:00:00", "p1"), at(2, None, "10:05:00", "p2"), at(3, 400, "10:10:00", "p3"), at(4, None, None, "p4"), at(5, None, "onleesbaar", "p4"), at(6, None, "10:20", "p5"), at(7, None, "08:00", "p2")]
+    s = turns.ordered(spark.createDataFrame(rows, SPEECH), turns.people_of(*frames(spark))).orderBy("chunk", "place").collect()
+    assert [r.speech_id for r in s if r.speech_id not in (4, 5)] == [7, 1, 2, 3, 6] and {r.speech_id for r in s[:3]} >= {4, 5}
     assert ("v", None, "p2") in found_any(spark, rows)
 
 
+def test_the_weights_decide_what_is_found(spark):
+    """Cues, starts and volgnr contradict each other; each of them, if it weighs most, makes other turns."""
+    rows = [at(1, 1, "10:02:00", "p1", "[t=400s] Een."), at(2, 2, "10:01:00", "p2", "[t=500s] Twee."), at(3, 3, "10:00:00", "p1", "[t=450s] Drie.")]
+    df = spark.createDataFrame(rows, SPEECH)
+    by = {w: {tuple(r)[1:] for r in turns.found(df, *frames(spark), weights=w).collect()} for w in (turns.WEIGHTS, (1, 4, 2))}
+    assert by[turns.WEIGHTS] == {(1, "p1"), (2, "p2"), (3, "p1")} and by[1, 4, 2] == {(1, "p1"), (2, "p2")}
+
+
 def found_any(spark, rows):
     return [tuple(r) for r in turns.found(spark.createDataFrame(rows, SPEECH), *frames(spark)).collect()]
 
@@ -122,5 +162,5 @@ def test_empty_and_unknown(spark):
 
 
 def test_clean_segments(spark):
-    s = turns.ordered_segments(spark.createDataFrame([row(1, 1, "10:00 Uhm, Ik open.", "p1", True), row(2, 2, "Vz.: Ja. [lacht]")], SPEECH), turns.people_of(*frames(spark)))
+    s = turns.ordered(spark.createDataFrame([row(1, 1, "10:00 Uhm, Ik open.", "p1", True), row(2, 2, "Vz.: Ja. [lacht]")], SPEECH), turns.people_of(*frames(spark)))
     assert [(r.volgnr, r.seq, r.who, r.body) for r in s.orderBy("chunk", "place").collect()] == [(1, 0, "p1", "Ik open."), (2, 0, "p1", "Ja.")]
