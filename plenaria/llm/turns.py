@@ -50,15 +50,16 @@ _CHAIR = re.compile(r"(?:mijnheer |mevrouw )?(?:de )?(?:(?:waarnemend|plaatsverv
 _TITLE = re.compile(r"(?:de heer|dhr\.?|heer|mevrouw|mevr\.?|mw\.?|spreker|de minister|minister|de staatssecretaris|staatssecretaris|het lid)\s+", re.I)
 
 
-def label_patterns(longest: int) -> list[re.Pattern]:
-    """Forms of labels of up to ``longest`` characters at the start of a passage, the label in group 1 (and its party in 2)."""
+def label_forms(longest: int) -> list[tuple]:
+    """Forms of labels of up to ``longest`` characters at the start of a passage, the label in group 1 (and its party in 2), each after a quick sign of it."""
     chair = r"(?:(?:de )?(?:voorzitter|voorz\.?|vz\.?)"
-    return [re.compile(x, re.I) for x in (
+    bold, square, plain, dash = (re.compile(x, re.I) for x in (
         rf"\s*\*\*([^*\n:]{{2,{longest}}})\*\*\s*(\([^)\n]{{1,{longest}}}\))?\s*:(?=\s|$)",
         rf"\s*\[([^\]\n:]{{3,{longest}}})\](?=\s|$)",
         rf"\s*([^:\n<>\[\]{{}}«»?!\x01]{{2,{longest}}}?)\s*(?::|>{{1,2}})(?=\s|$|\x01)",
         rf"\s*({chair}|(?:minister|staatssecretaris)\s[^:\n\x01–-]{{2,{longest}}}?))\s[-–]\s",
-    )]
+    ))
+    return [(lambda x: x.startswith("**"), bold), (lambda x: x.startswith("["), square), (lambda x: ":" in x or ">" in x, plain), (lambda x: x[:1] in "dDvVmMsS" and ("-" in x or "–" in x), dash)]
 
 
 class People:
@@ -98,7 +99,8 @@ class People:
         named = [" ".join(x for x in (p[3], p[4], p[1], p[2]) if x) for p in persons]
         self.most_words = max((len(words(n)) for n in named), default=0) + 1
         # a label holds a name, a party and an office
-        self.heads = label_patterns(max(110, 60 + max(map(len, named), default=0) + max((len(n) for _, n in parties if n), default=0)))
+        longest = max(110, 60 + max(map(len, named), default=0) + max((len(n) for _, n in parties if n), default=0))
+        self.heads, self.longest = label_forms(longest), 2 * longest + 20
         self.announced = lru_cache(maxsize=100_000)(self._announced)
         self.described = lru_cache(maxsize=100_000)(self._described)
 
@@ -220,8 +222,11 @@ def segments(text: str | None, row_speaker: str | None, people: People) -> list[
     for place in places:
         if place < at:
             continue
-        for form in people.heads:
-            if (m := form.match(t, place)) and (who := people.announced("".join(x for x in m.groups() if x))) is not None:
+        line = t.find("\n", place, place + people.longest)
+        near = t[place : line if line > 0 else place + people.longest].lstrip()
+        for sign, form in people.heads:
+            # what has no sign of a label nearby is not gone through letter by letter
+            if sign(near) and (m := form.match(t, place)) and (who := people.announced("".join(x for x in m.groups() if x))) is not None:
                 at = m.end()
                 # a time code right before a label belongs to what the label opens
                 cuts.append((len(t[: m.start()].rstrip(f" \n{_MARK}")), at, who))

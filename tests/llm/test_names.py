@@ -31,7 +31,7 @@ def test_values(resolver, text):
 
 def test_longest_mention_wins(resolver):
     tokens = strings.skeleton("de VBP/Krelissen").split()
-    assert [k for _, _, k in resolver.mentions(tokens)] == ["2"]
+    assert {k for *_, k in resolver.mentions(tokens)} == {"1", "2"} and names.decide(tokens, [resolver.evidence(tokens)]) == "2"
 
 
 def test_no_names():
@@ -64,6 +64,45 @@ def test_found(spark):
     assert {r.fractie_id for r in names.found(s, p, fractie.limit(0)).collect()} == {""}
 
 
+def test_a_list_in_blocks_gives_the_same(spark):
+    """Every name in a block of its own, and forms that two keys of different blocks share."""
+    more = [*LIST, ("10", "Ooster Bond"), ("11", "Zuid"), ("12", "zuid")]
+    whole = names.Resolver(names.with_english(more))
+    texts = [t for t in CASES if t] + ["Oosterbond", "zuid", "westerbond"]
+    t, n = spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame(more, "key string, name string")
+    for block in (1, 5, 1000):
+        assert {r.t: r.key for r in names.mapped(t, n, block).collect()} == {t: whole(t) for t in texts}
+    f = spark.createDataFrame([(k, n, None, None) for k, n in LIST], "Id string, Afkorting string, NaamNL string, NaamEN string")
+    s = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "Id string, ActorFractie string")
+    p = spark.createDataFrame([(1, "Duin"), (2, None)], "speech_id long, fractie string")
+    assert sorted(map(tuple, names.found(s, p, f, 3).collect())) == sorted(map(tuple, names.found(s, p, f).collect()))
+
+
+def test_candidates_lose_no_name():
+    """Scores by the indexes against all names."""
+    import random
+
+    g = random.Random(2)
+    pool = sorted({n for _, n in LIST} | {"Algemene Huurderspartij", "Vrije Zeelieden Nu", "Partij van het Veen", "Lokaal Belang"})
+    r = names.Resolver([(n, n) for n in pool])
+    for _ in range(300):
+        t = list(g.choice(pool))
+        for _ in range(g.randrange(4)):
+            i = g.randrange(len(t))
+            t[i] = g.choice(["", t[i] * 2, g.choice("aeno ")])
+        tokens = strings.skeleton("".join(t)).split()
+        if not tokens:
+            continue
+        best = {}
+        for core in names.cores(tokens):
+            weighty = [x for x in core if x not in names._LIGHT and not names.skeleton_around(x)] or core
+            for key, name, form in r.names:
+                near = {x: {y: names.match(x, y) for y in name} for x in weighty}
+                best[key] = max(best.get(key, 0), names.spelling("".join(core), form) if len("".join(core)) > 2 else 0, names.token_set(weighty, name, near) if len("".join(core)) > 2 else 0)
+        want = [x for x in sorted(best.values(), reverse=True)[:2] if x >= names.ACCEPT - names.MARGIN]
+        assert [x for x, *_ in r.similar(tokens) if x >= names.ACCEPT - names.MARGIN] == pytest.approx(want)
+
+
 def test_bound_is_an_error_and_no_cut(spark):
     from plenaria.runtime import BoundExceeded
 
