@@ -71,12 +71,13 @@ def schema(columns: list[str]) -> StructType:
 
 
 def register(spark: SparkSession, root: str) -> list[str]:
-    """Every Parquet table under ``root`` as a temporary view, for SQL; gives their names."""
-    names = []
-    for p in sorted(Path(root).glob("*.parquet")):
-        spark.read.parquet(str(p)).createOrReplaceTempView(p.stem)
-        names.append(p.stem)
-    return names
+    """Every Parquet table under ``root``, on any file system, as a temporary view, for SQL; gives their names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = [f.getPath() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    tables = sorted((p.getName().removesuffix(".parquet"), p.toString()) for p in found if p.getName().endswith(".parquet"))
+    for name, path in tables:
+        spark.read.parquet(path).createOrReplaceTempView(name)
+    return [name for name, _ in tables]
 
 
 def listing(spark: SparkSession) -> DataFrame:

@@ -24,7 +24,7 @@ def keep_by(df: DataFrame, keys: list[str], order: list[Column], last: bool = Tr
 
 def keep_longest(df: DataFrame, keys: list[str], length: str, tie: str) -> DataFrame:
     """For each key the row with the greatest ``length``, of equals the one with the lowest ``tie``."""
-    return keep_by(df, keys, [F.coalesce(F.col(length), F.lit(-1)), -F.col(tie)])
+    return keep_by(df, keys, [-F.coalesce(F.col(length), F.lit(-1)), F.col(tie)], last=False)
 
 
 def best_version(df: DataFrame, key: str, status: str, ranks: dict[str, int], tie: str, unknown: int = 99) -> DataFrame:

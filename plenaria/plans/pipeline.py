@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenaria.functions.text import without_attribution
 from plenaria.operators import clean, features, link
+from plenaria.runtime import cut
 from plenaria.sources import files, transcripts
 
 
@@ -30,41 +29,41 @@ def clean_entities(spark: SparkSession, raw: str, out: str, names: list[str], ki
     good = {n: p for n, p in done.items() if isinstance(p, str)}
     if good:
         read = {n: (spark.read.parquet(p) if kind == "parquet" else files.read_csv(spark, p)) for n, p in good.items()}
-        sizes = spark.createDataFrame([(n, files.size_mb(p)) for n, p in good.items()], "tabel string, mb double")
+        sizes = spark.createDataFrame([(n, files.size_mb(p, spark)) for n, p in good.items()], "tabel string, mb double")
         files.save(clean.summary(read).join(F.broadcast(sizes), "tabel").coalesce(1), f"{out}/_summary", "csv")
     return done
 
 
 def speech_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Speeches of a folder of transcripts with their clean text, day and a unique order."""
+    """Speeches of a folder of transcripts with their clean text, day and a unique order: transcript and place in it."""
     s = transcripts.read(spark, folder)
     return s.withColumns({
         "speech_text_clean": without_attribution(F.col("speech_text")),
         "dag": F.to_date(F.col("datum").try_cast("timestamp")),
-        "ord": F.xxhash64("verslag_id") + F.col("volgnr"),
+        "ord": F.struct("verslag_id", "volgnr"),
     })
 
 
 def linked_pairs(speeches: DataFrame, tables: dict[str, DataFrame], train_to: int = 2021, test_from: int = 2023) -> DataFrame:
-    """Substantive speeches linked to votes, with the place of the speech and the split of its year.
+    """Substantive speeches linked to votes: all columns of a pair, the place of the speech and the split of its year.
 
     ``tables`` holds Activiteit, Agendapunt, Besluit and Stemming; later rows of Stemming win.
     """
     said = link.substantive(speeches.withColumn("speech_text", F.col("speech_text_clean")))
-    placed = link.positions(said, "activiteit_id", "volgnr").select("persoon_id", "activiteit_id", "ord", "speech_position", "datum", F.col("fractie").alias("__f"))
+    # the place of a speech is that among all of its activity, by transcript and volgnr
+    placed = link.positions(said, "activiteit_id", "volgnr", "speech_position", ["verslag_id"]).na.fill({"speech_position": 0.5})
+    placed = cut(placed)
     votes = tables["Stemming"].withColumn("ord", F.struct("GewijzigdOp", "Id"))
-    linked = link.link(said, tables["Activiteit"], tables["Agendapunt"], tables["Besluit"], votes)
-    more = placed.select(F.col("ord").alias("__o"), "speech_position", "datum")
-    full = link.pairs(linked).join(linked.select(F.col("persoon_id").alias("__p"), F.col("besluit_id").alias("__b"), F.col("ord").alias("__ord")), F.col("persoon_id").eqNullSafe(F.col("__p")) & (F.col("besluit_id") == F.col("__b")))
-    full = full.join(more, F.col("__ord") == F.col("__o")).drop("__p", "__b", "__ord", "__o")
-    return features.split_by_year(full, "datum", train_to, test_from)
+    decided = cut(link.decided_on(tables["Activiteit"], tables["Agendapunt"], tables["Besluit"], votes))
+    linked = link.link(placed, tables["Activiteit"], tables["Agendapunt"], tables["Besluit"], votes, decided=decided)
+    return features.split_by_year(link.full_pairs(linked, placed, decided), "datum", train_to, test_from)
 
 
 def speech_dataset(spark: SparkSession, xml: str, entities: str, out: str) -> str:
     """Transcripts and clean entities to pairs, one folder for each split; stages that are there are not made again."""
     speeches = files.staged(spark, f"{out}/speeches", lambda: speech_table(spark, xml))
     tables = {n: clean.with_missing(spark.read.parquet(f"{entities}/{n}.parquet"), columns) for n, columns in NEEDED.items()}
-    return files.save(linked_pairs(speeches, tables), str(Path(out, "pairs")), by=["split"])
+    return files.save(linked_pairs(speeches, tables), f"{out.rstrip('/')}/pairs", by=["split"])
 
 
 def enhanced(train: DataFrame, df: DataFrame, cases: DataFrame, coalition: DataFrame, topic: str = "agendapunt_onderwerp") -> DataFrame:

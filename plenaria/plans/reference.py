@@ -69,7 +69,7 @@ def parliament(t: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
     activities = p.where("activiteit_id is not null").groupBy(F.col("activiteit_id").alias("Id")).agg(F.min("activiteit_soort").alias("Soort"), F.min("datum").alias("Datum"))
     speeches = p.select(
         F.col("pair_id").alias("ord"), "persoon_id", "fractie", F.when(F.col("link_quality") == 1, F.col("activiteit_id")).alias("activiteit_id"),
-        "activiteit_onderwerp", "activiteithoofd_onderwerp", F.col("datum").try_cast("date").alias("dag"), "speech_text",
+        F.col("datum").try_cast("date").alias("dag"), *[c for c in link.SAID if c != "speech_position"],
     )
     votes = t("stemming").withColumn("ord", F.struct("ApiGewijzigdOp", "Id"))
     return {"speeches": speeches, "activities": activities, "agenda": agenda, "decisions": decisions, "votes": votes}
@@ -77,7 +77,7 @@ def parliament(t: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
 
 _PARLIAMENT = """
 p AS (SELECT DISTINCT * FROM speech_vote_pairs),
-dec AS (SELECT besluit_id, min(activiteit_id) AS act, min(agendapunt_onderwerp) AS topic, min(besluit_tekst) AS tekst FROM p GROUP BY besluit_id),
+dec AS (SELECT besluit_id, min(activiteit_id) AS act, min(agendapunt_onderwerp) AS topic, min(besluit_tekst) AS tekst, min(stemmings_soort) AS ss, min(besluit_soort) AS bs FROM p GROUP BY besluit_id),
 act AS (SELECT activiteit_id AS act, CASE WHEN min(activiteit_soort) ILIKE '%stemming%' THEN TRY_CAST(min(datum) AS DATE) END AS dag FROM p WHERE activiteit_id IS NOT NULL GROUP BY activiteit_id),
 decided AS (SELECT d.*, a.dag FROM dec d LEFT JOIN act a ON a.act = d.act WHERE d.besluit_id IN (SELECT Besluit_Id FROM stemming)),
 s AS (SELECT pair_id AS ord, persoon_id, fractie, CASE WHEN link_quality = 1 THEN activiteit_id END AS act, activiteit_onderwerp AS ao, activiteithoofd_onderwerp AS ah, TRY_CAST(datum AS DATE) AS dag, length(speech_text) AS len FROM p)"""
@@ -98,26 +98,43 @@ _SECOND = (
 ).replace("nullif(d.topic, chr(0))", "nullif(d.topic, '')")
 
 
-@query(f"""WITH {_PARLIAMENT}, {_LOOKUPS}, c AS ({_FIRST} UNION ALL {_SECOND}), r AS (
+_LINKED = f"""WITH {_PARLIAMENT}, {_LOOKUPS}, c AS ({_FIRST} UNION ALL {_SECOND}), r AS (
   SELECT c.*, CASE WHEN v0.k IS NOT NULL THEN 0 WHEN v1.k IS NOT NULL THEN 1 WHEN v2.k IS NOT NULL THEN 2 END AS hit,
     v0.Soort AS s0, v1.Soort AS s1, v2.Soort AS s2, v0.FractieGrootte AS g0, v1.FractieGrootte AS g1, v2.FractieGrootte AS g2,
     v0.Persoon_Id AS p0, v1.Persoon_Id AS p1, v2.Persoon_Id AS p2, v0.Vergissing AS f0, v1.Vergissing AS f1, v2.Vergissing AS f2
   FROM c LEFT JOIN v0 ON v0.Besluit_Id = c.besluit_id AND v0.k = nullif(c.persoon_id, '')
   LEFT JOIN v1 ON v1.Besluit_Id = c.besluit_id AND v1.k = nullif(c.fractie, '') LEFT JOIN v2 ON v2.Besluit_Id = c.besluit_id AND v2.k = nullif(lower(c.fractie), ''))
-SELECT persoon_id, besluit_id, fractie, act AS activiteit_id, CAST(len AS INTEGER) AS speech_length, q AS link_quality,
+SELECT ord, persoon_id, besluit_id, fractie, act AS activiteit_id, CAST(len AS INTEGER) AS speech_length, q AS link_quality,
   CASE hit WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS vote, CASE hit WHEN 0 THEN g0 WHEN 1 THEN g1 ELSE g2 END AS vote_fractie_grootte,
   (CASE hit WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END) IS NOT NULL AS vote_is_individual, CASE hit WHEN 0 THEN f0 WHEN 1 THEN f1 ELSE f2 END AS vote_vergissing
-FROM r WHERE hit IS NOT NULL QUALIFY row_number() OVER (PARTITION BY persoon_id, besluit_id ORDER BY coalesce(len, -1) DESC, ord) = 1""")
+FROM r WHERE hit IS NOT NULL QUALIFY row_number() OVER (PARTITION BY persoon_id, besluit_id ORDER BY coalesce(len, -1) DESC, ord) = 1"""
+
+
+@query(f"SELECT * EXCLUDE (ord) FROM ({_LINKED})")
 def link_flagship(t):
     return link.pairs(link.link(**parliament(t)))
 
 
+@query(f"""WITH l AS ({_LINKED}), pp AS (SELECT DISTINCT * FROM speech_vote_pairs),
+dd AS (SELECT besluit_id, min(stemmings_soort) AS stemmings_soort, min(besluit_soort) AS besluit_soort, min(besluit_tekst) AS besluit_tekst, min(agendapunt_onderwerp) AS agendapunt_onderwerp FROM pp GROUP BY besluit_id),
+pos AS (SELECT pair_id, CASE WHEN link_quality = 1 AND activiteit_id IS NOT NULL THEN round((row_number() OVER w - 1) / count(*) OVER (PARTITION BY CASE WHEN link_quality = 1 THEN activiteit_id END), 6) END AS speech_position
+  FROM pp WINDOW w AS (PARTITION BY CASE WHEN link_quality = 1 THEN activiteit_id END ORDER BY pair_id))
+SELECT l.* EXCLUDE (ord), {", ".join(f"pp.{c}" for c in link.SAID if c != "speech_position")}, pos.speech_position, dd.stemmings_soort, dd.besluit_soort, dd.besluit_tekst, dd.agendapunt_onderwerp
+FROM l JOIN pp ON pp.pair_id = l.ord JOIN pos ON pos.pair_id = l.ord JOIN dd ON dd.besluit_id = l.besluit_id""")
+def pairs_full(t):
+    """All 26 columns of a pair."""
+    p = parliament(t)
+    said = cut(link.positions(p["speeches"], "activiteit_id", "ord").withColumn("speech_position", F.round("speech_position", 6)))
+    decided = cut(link.decided_on(p["activities"], p["agenda"], p["decisions"], p["votes"]))
+    return link.full_pairs(link.link(**{**p, "speeches": said}, decided=decided), said, decided)
+
+
 @query(f"WITH {_PARLIAMENT} SELECT q AS link_quality, count(*) AS n, count(DISTINCT ord) AS speeches FROM ({_FIRST} UNION ALL {_SECOND}) GROUP BY q")
 def link_strategies(t):
     p = parliament(t)
     decided = link.decided_on(p["activities"], p["agenda"], p["decisions"], p["votes"])
     both = link.by_activity(p["speeches"], decided).select("ord", "link_quality").unionByName(
-        link.on_topic(link.by_day(link.unmatched(p["speeches"], decided), decided, "dag")).select("ord", "link_quality")
+        link.by_topic(link.unmatched(p["speeches"], decided), decided, "dag").select("ord", "link_quality")
     )
     return both.groupBy("link_quality").agg(F.count("*").alias("n"), F.count_distinct("ord").alias("speeches"))
 

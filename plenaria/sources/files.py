@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sqlite3
-from pathlib import Path
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -56,6 +56,14 @@ def export_csv(df: DataFrame, path: str, rows: int | None = 10_000) -> str:
     return path
 
 
+def export_tables(tables: dict[str, DataFrame], folder: str, names: list[str] | None = None, rows: int | None = 10_000) -> dict[str, str]:
+    """``export_csv`` of every table (names beginning with _ excepted), or of those named; none of them there is a ValueError."""
+    wanted = {n: d for n, d in tables.items() if not n.startswith("_") and (not names or n in names)}
+    if names and not wanted:
+        raise ValueError(f"no such tables: {', '.join(names)}")
+    return {n: export_csv(d, f"{folder.rstrip('/')}/{n}.csv", rows) for n, d in wanted.items()}
+
+
 def append_metrics(spark: SparkSession, path: str, row: dict) -> None:
     """One run appended to a metrics table."""
     spark.createDataFrame([row]).coalesce(1).write.mode("append").option("header", True).csv(path)
@@ -98,11 +106,12 @@ def staged(spark: SparkSession, path: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def size_mb(path: str) -> float:
-    """Megabytes of a local file or folder."""
-    p = Path(path)
-    n = sum(f.stat().st_size for f in p.rglob("*") if f.is_file()) if p.is_dir() else p.stat().st_size if p.exists() else 0
-    return round(n / (1024 * 1024), 2)
+def size_mb(path: str, spark: SparkSession | None = None) -> float:
+    """Megabytes of a file or folder on any file system that the session can reach; of a missing one 0."""
+    spark = spark or SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return round(system.getContentSummary(p).getLength() / (1024 * 1024), 2) if system.exists(p) else 0.0
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -110,7 +119,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def each(names: list[str], work) -> dict[str, Path | Exception]:
+def each(names: list[str], work: Callable) -> dict[str, object]:
     """``work`` for each name; a failure of one does not stop the others."""
     out: dict = {}
     for n in names:

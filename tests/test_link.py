@@ -95,3 +95,15 @@ def test_best_version(spark):
 
     df = spark.createDataFrame(rows, "i int, v string, s string")
     assert sorted(r.i for r in dedup.best_version(df, "v", "s", VERSIONS, "i").collect()) == [2, 4, 5, 7, 8]
+
+
+def test_topics_meet_as_their_pairs_would(spark):
+    import random
+
+    g = random.Random(6)
+    words = ["water", "dijk", "haven", "bodem", "school", "zorg"]
+    topic = lambda: " ".join(g.sample(words, g.randrange(0, 5))) if g.random() < 0.9 else None
+    s = spark.createDataFrame([(i, f"2021-03-0{g.randrange(1, 5)}" if i % 9 else None, topic(), topic()) for i in range(60)], "ord long, d string, activiteit_onderwerp string, activiteithoofd_onderwerp string").selectExpr("*", "cast(d as date) dag")
+    d = spark.createDataFrame([(f"b{i}", f"2021-03-0{g.randrange(1, 5)}" if i % 7 else None, topic(), topic()) for i in range(40)], "besluit_id string, d string, Agendapunt_Onderwerp string, BesluitTekst string").selectExpr("*", "cast(d as date) stem_dag").drop("d")
+    keys = lambda x: sorted(map(tuple, x.select("ord", "besluit_id", "link_quality").collect()))
+    assert keys(link.by_topic(s, d, "dag")) == keys(link.on_topic(link.by_day(s, d, "dag"))) and keys(link.by_topic(s, d, "dag"))

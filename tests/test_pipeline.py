@@ -3,6 +3,8 @@ import urllib.error
 from io import BytesIO
 
 from plenaria import catalog
+from plenaria.ml import models
+from plenaria.operators import link
 from plenaria.plans import pipeline
 from plenaria.sources import files, odata
 
@@ -43,13 +45,27 @@ def test_whole_run(spark, tmp_path):
     assert rows == {
         ("p1", "b1"): ("Voor", 1, "train", 0.0), ("p2", "b1"): ("Tegen", 1, "train", 0.5), ("p1", "b2"): ("Voor", 3, "val", 0.0), ("p2", "b2"): ("Tegen", 3, "val", 0.5),
     }
+    assert set(link.SAID) | set(link.DECIDED.values()) <= set(got.columns) and len(got.columns) == 27  # 26 columns of a pair and the split
+    first = next(r for r in got.collect() if (r.persoon_id, r.besluit_id) == ("p1", "b2"))
+    assert (first.agendapunt_onderwerp, first.besluit_tekst, first.vergadering_id, first.activiteit_onderwerp) == ("motie schoon water", "Aangenomen.", "m1", "schoon water") and first.speech_text.startswith("woord woord")
     cases = spark.createDataFrame([("Motie", "schoon water", None, "Ontraden")], "Soort string, Titel string, Onderwerp string, Kabinetsappreciatie string")
     coalition = spark.createDataFrame([(2022, "A")], "jaar int, fractie string")
-    from pyspark.sql import functions as F
-
-    with_topic = got.withColumn("agendapunt_onderwerp", F.lit("motie schoon water"))
-    e = pipeline.enhanced(with_topic.where("split = 'train'"), with_topic.where("split = 'val'"), cases, coalition)
+    e = pipeline.enhanced(got.where("split = 'train'"), got.where("split = 'val'"), cases, coalition)
     assert {(r.persoon_id, r.speaker_loyalty, r.zaak_soort, r.kabinetsappreciatie, r.is_coalition) for r in e.collect()} == {("p1", 1.0, "Motie", "Ontraden", 1), ("p2", 1.0, "Motie", "Ontraden", 0)}
+    # what the run gives feeds a model as it is
+    train = models.labelled(models.filled(pipeline.enhanced(got.where("split = 'train'"), got.where("split = 'train'"), cases, coalition), ["fractie"], ["speaker_loyalty", "speech_position"], ["speech_text"]))
+    m = models.logistic(["fractie"], ["speaker_loyalty", "speech_position"], {"tekst": models.tf_idf("speech_text", "tekst", least=1.0, most=1.0)}, 5).fit(train)
+    assert models.predicted(m, models.filled(e, ["fractie"], ["speaker_loyalty", "speech_position"], ["speech_text"])).count() == 2
+
+
+def test_two_transcripts_never_meet(spark, tmp_path):
+    """The order of speeches is unique over transcripts: no pair is doubled by the join back of the texts."""
+    xml = tmp_path / "xml"
+    xml.mkdir()
+    for k in range(3):
+        (xml / f"v{k}.xml").write_text(XML.format(day="2021-03-01", act="act", long="woord " * 20))
+    s = pipeline.speech_table(spark, str(xml))
+    assert s.count() == s.select("ord").distinct().count() == 9
 
 
 def test_download(tmp_path):

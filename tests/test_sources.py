@@ -158,3 +158,20 @@ def test_catalog(spark, data):
     assert catalog.select(None, catalog.entities(frozenset({"Zaal"})))[0][-1].name == "Toezegging"
     assert "zaak" in catalog.register(spark, data) and spark.sql("select count(*) from zaak").first()[0] > 0
     assert catalog.listing(spark).count() == 38
+
+
+def test_export_of_named_tables(spark, tmp_path):
+    tables = {"Zaak": spark.range(5), "Persoon": spark.range(7), "_summary": spark.range(1)}
+    assert set(files.export_tables(tables, str(tmp_path / "a"))) == {"Zaak", "Persoon"}
+    got = files.export_tables(tables, str(tmp_path / "b"), ["Persoon", "Weg"], 3)
+    assert list(got) == ["Persoon"] and files.read_csv(spark, got["Persoon"]).count() == 3
+    with pytest.raises(ValueError):
+        files.export_tables(tables, str(tmp_path / "c"), ["Weg"])
+
+
+def test_sizes_and_views_through_the_file_system(spark, tmp_path):
+    from plenaria import catalog
+
+    spark.range(100_000).write.parquet(str(tmp_path / "Getal.parquet"))
+    assert files.size_mb(f"file://{tmp_path}/Getal.parquet") > 0 and files.size_mb(str(tmp_path / "weg")) == 0.0
+    assert catalog.register(spark, f"file://{tmp_path}") == ["Getal"] and spark.sql("select count(*) n from Getal").first().n == 100_000
