@@ -4,130 +4,155 @@ Method: the facts become, for every entity, as-known snapshots at the start of e
 log of the changes within the period. An event joins the snapshot before it by (entity, period) and
 replays only the changes up to its day. The event side is never sorted or shuffled as long as the
 snapshots have a proven small size; beyond it the same equi join is shuffled.
+
+A period's snapshot and log come from the facts that begin or end within it and from the one fact, known last, that
+holds throughout; the latter is looked up in maxima over dyadic spans of periods. So no task holds more of
+an entity than what changes within one period.
 """
 
 from __future__ import annotations
 
+import datetime
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenaria.runtime import broadcast_within
+from plenaria.functions.ordered import carry
+from plenaria.runtime import broadcast_within, cut
 
 PERIOD_DAYS = 91
 FOREVER = 10_000_000
-#: Snapshots and change logs up to this many rows are broadcast (about 100 bytes each).
-BROADCAST_ROWS = 200_000
+#: Days from here on are fillers: such an end is open, such a start never comes.
+FILLER_DAY = datetime.date(9000, 1, 1).toordinal() - datetime.date(1970, 1, 1).toordinal()
+#: Snapshots and change logs up to this many rows and characters are broadcast.
+BROADCAST_ROWS, BROADCAST_SIZE = 200_000, 20_000_000
 
 
 def effective(facts: DataFrame, entity: str, version_of: str | None, value: str, known_us: str, start_day: str, end_day: str, tie: list[str]) -> DataFrame:
     """Rows (entity, value, first_day, last_day, known_us): the days on which a fact is known, not replaced, and valid.
 
     A fact is known at 00:00 UTC of a day if its ``known_us`` lies before. Later facts of the same
-    ``version_of`` replace earlier ones. Facts without entity, ``known_us`` or start say nothing.
+    ``version_of`` replace earlier ones. Facts without entity, ``known_us`` or start say nothing. A year from 9000
+    on is a filler: an end there is open, and what is known or starts only there says nothing.
     """
-    day = F.floor(F.col(known_us) / 86_400_000_000).cast("long") + 1
     rows = facts.where(F.col(entity).isNotNull() & F.col(known_us).isNotNull() & F.col(start_day).isNotNull())
+    rows = rows.withColumn("__known", F.floor(F.col(known_us) / 86_400_000_000).cast("long") + 1)
     replaced = F.lit(None).cast("long")
     if version_of:
-        w = Window.partitionBy(version_of).orderBy(known_us, *tie)
-        replaced = F.when(F.col(version_of).isNotNull(), F.lead(day).over(w))
+        rows = rows.withColumn("__bucket", F.floor(F.col("__known") / PERIOD_DAYS))
+        rows = carry(rows, [version_of], "__bucket", [known_us, *tie], {"__replaced": "__known"}, forward=False, inclusive=False)
+        replaced = F.when(F.col(version_of).isNotNull(), F.col("__replaced"))
+    end = F.col(end_day).cast("long")
     rows = rows.select(
         F.col(entity).alias("entity"),
         F.col(value).cast("string").alias("value"),
         F.col(known_us).alias("known_us"),
         F.struct(*tie).cast("string").alias("tie") if tie else F.lit("").alias("tie"),
-        day.alias("__known"),
-        replaced.alias("__replaced"),
-        F.col(start_day).cast("long").alias("__start"),
-        F.coalesce(F.col(end_day).cast("long"), F.lit(FOREVER)).alias("__end"),
+        F.greatest(F.col("__known"), F.col(start_day).cast("long")).alias("first_day"),
+        F.least(F.when(end < FILLER_DAY, end).otherwise(FOREVER), F.coalesce(replaced, F.lit(FOREVER + 1)) - 1).alias("last_day"),
     )
-    return rows.select(
-        "entity",
-        "value",
-        "known_us",
-        "tie",
-        F.greatest("__known", "__start").alias("first_day"),
-        F.least(F.col("__end"), F.coalesce("__replaced", F.lit(FOREVER + 1)) - 1).alias("last_day"),
-    ).where("first_day <= last_day")
-
-
-def _sweep(g: pd.DataFrame) -> pd.DataFrame:
-    """The fact known last on every day, as steps (entity, day, value); value null: nothing is known."""
-    g = g.sort_values(["first_day", "known_us", "tie"], kind="stable")
-    first, last, known, value, tie = (g[c].tolist() for c in ("first_day", "last_day", "known_us", "value", "tie"))
-    days = sorted({*first, *(x + 1 for x in last if x < FOREVER)})
-    heap: list = []
-    k, out, before = 0, [], object()
-    rank = {t: n for n, t in enumerate(sorted(set(tie)))}
-    for day in days:
-        while k < len(first) and first[k] <= day:
-            heapq.heappush(heap, (-known[k], -rank[tie[k]], k))
-            k += 1
-        while heap and last[heap[0][2]] < day:
-            heapq.heappop(heap)
-        now = value[heap[0][2]] if heap else None
-        if now != before:
-            out.append((day, now))
-            before = now
-    return pd.DataFrame({"entity": [g.entity.iloc[0]] * len(out), "day": [d for d, _ in out], "value": [v for _, v in out]})
-
-
-def steps(facts: DataFrame) -> DataFrame:
-    """Per entity the days at which the as-known value changes. One task holds one entity's facts (not its events)."""
-    return facts.groupBy("entity").applyInPandas(_sweep, "entity string, day long, value string")
-
-
-def snapshots(change: DataFrame, period_days: int = PERIOD_DAYS) -> DataFrame:
-    """Rows (entity, period, snapshot, log, low, high) from the steps of every entity.
-
-    ``snapshot`` is the value at the start of the period and ``log`` the sorted changes within it.
-    Periods run from the first to the last change of any entity (low, high); events outside use
-    the nearest of them, as nothing changes beyond.
+    return rows.where((F.col("first_day") <= F.col("last_day")) & (F.col("first_day") < FILLER_DAY))
+
+
+def _spans(low: Column, high: Column) -> Column:
+    """The dyadic spans (level, node) that make up low .. high - 1, both from 0 on: two for each level at most."""
+    empty = F.expr("cast(array() as array<struct<level: int, node: bigint>>)")
+
+    def climb(a: Column, level: Column) -> Column:
+        l, r = a["l"], a["r"]
+        left, right = (l < r) & (l % 2 == 1), (l < r) & (r % 2 == 1)
+        one = lambda ok, node: F.when(ok, F.array(F.struct(level.cast("int").alias("level"), node.alias("node")))).otherwise(empty)
+        # where both ends are odd and meet, the left span is the right one too
+        both = F.concat(a["out"], one(left, l), one(right & ~(left & (l + 1 == r)), r - 1))
+        up = F.when(l < r, F.struct(F.floor((l + 1) / 2).alias("l"), F.floor(r / 2).alias("r"))).otherwise(F.struct(l.alias("l"), l.alias("r")))
+        return F.struct(up["l"].alias("l"), up["r"].alias("r"), both.alias("out"))
+
+    begin = F.struct(low.cast("long").alias("l"), high.cast("long").alias("r"), empty.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), begin, climb, lambda a: a["out"])
+
+
+#: Levels of dyadic spans; periods of a day from year 1 to 9000 take 22.
+LEVELS = 22
+
+
+def _sweep(period_days: int):
+    """The fact known last on every day of one entity and period: its state at the start, the changes after it, and the state at the end."""
+
+    def of(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        entity, period = key
+        start = period * period_days
+        first = [max(x, start) for x in g["first_day"]]
+        last = [min(x, start + period_days - 1) for x in g["last_day"]]
+        known, tie = g["known_us"].tolist(), g["tie"].tolist()
+        value = g["value"].astype(object).where(g["value"].notna(), None).tolist()
+        rank = {t: n for n, t in enumerate(sorted(set(tie)))}
+        waiting = sorted((k for k in range(len(g)) if first[k] <= last[k]), key=lambda k: -first[k])
+        heap: list = []
+        out: list[tuple] = []
+        for day in sorted({start, *(first[k] for k in waiting), *(last[k] + 1 for k in waiting if last[k] + 1 < start + period_days)}):
+            while waiting and first[waiting[-1]] <= day:
+                k = waiting.pop()
+                heapq.heappush(heap, (-known[k], -rank[tie[k]], k))
+            while heap and last[heap[0][2]] < day:
+                heapq.heappop(heap)
+            now = value[heap[0][2]] if heap else None
+            if not out or now != out[-1][1]:
+                out.append((day, now))
+        log = [{"day": d, "value": {"v": v}} for d, v in out[1:]]
+        return pd.DataFrame({"entity": [entity], "period": [period], "snapshot": [out[0][1]], "log": [log], "after": [out[-1][1]]})
+
+    return of
+
+
+_STATE = "entity string, period long, snapshot string, log array<struct<day: bigint, value: struct<v: string>>>"
+
+
+def known_state(facts: DataFrame, period_days: int = PERIOD_DAYS) -> DataFrame:
+    """Rows (entity, period, snapshot, log) from ``effective`` facts.
+
+    ``snapshot`` is the value at the start of the period and ``log`` the sorted changes within it. Periods run from
+    an entity's first to its own last change; beyond them nothing changes.
     """
-    period = F.floor(F.col("day") / period_days).cast("long")
-    per = change.groupBy("entity", period.alias("period")).agg(
-        F.sort_array(F.collect_list(F.struct("day", F.struct(F.col("value").alias("v")).alias("value")))).alias("log")
-    )
-    ends = per.agg(F.min("period").alias("low"), F.max("period").alias("high"))
-    w = Window.partitionBy("entity").orderBy("period")
-    per = per.select(
-        "entity",
-        "period",
-        "log",
-        F.element_at("log", -1)["value"]["v"].alias("after"),
-        F.lag(F.element_at("log", -1)["value"]["v"]).over(w).alias("snapshot"),
-        F.lead("period").over(w).alias("next"),
-        F.lag("period").over(w).alias("prior"),
-    ).crossJoin(F.broadcast(ends))  # one row
+    at = lambda c: F.floor(F.col(c) / period_days).cast("long")
+    closed = F.col("last_day") < FOREVER
+    facts = cut(facts.withColumn("begins", at("first_day")).withColumn("ends", F.when(closed, F.floor((F.col("last_day") + 1) / period_days).cast("long"))))
+    local = facts.withColumn("period", F.explode(F.array_compact(F.array_distinct(F.array("begins", "ends")))))
+    periods = local.select("entity", "period").distinct()
+    reach = periods.groupBy("entity").agg(F.min("period").alias("low"), F.max("period").alias("high"))
+    # facts that hold throughout periods, as the one known last of each dyadic span
+    said = F.struct("known_us", "tie", "value").alias("said")
+    through = facts.join(reach, "entity").select("entity", said, F.explode(_spans(F.col("begins") + 1 - F.col("low"), F.coalesce("ends", F.col("high") + 1) - F.col("low"))).alias("s"))
+    spans = through.groupBy("entity", F.col("s")["level"].alias("level"), F.col("s")["node"].alias("node")).agg(F.max("said").alias("said"))
+    above = periods.join(reach, "entity").select("entity", "period", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level"), (F.col("period") - F.col("low")).alias("k"))
+    above = above.select("entity", "period", "level", F.floor(F.col("k") / F.pow(F.lit(2.0), F.col("level"))).cast("long").alias("node"))
+    cover = above.join(spans, ["entity", "level", "node"]).groupBy("entity", "period").agg(F.max("said").alias("said"))
+    columns = ["entity", "period", "known_us", "tie", "value", "first_day", "last_day"]
+    whole = cover.select("entity", "period", "said.*", (F.col("period") * period_days).alias("first_day"), F.lit(FOREVER).cast("long").alias("last_day"))
+    swept = local.select(*columns).unionByName(whole.select(*columns)).groupBy("entity", "period").applyInPandas(_sweep(period_days), _STATE + ", after string")
+    # at most one row for each period of an entity
+    swept = swept.withColumn("next", F.lead("period").over(Window.partitionBy("entity").orderBy("period")))
+    swept = cut(swept)
     none = F.expr("cast(array() as array<struct<day: bigint, value: struct<v: string>>>)")
-    gaps = per.where(F.coalesce(F.col("next"), F.col("high") + 1) > F.col("period") + 1).select(
-        "entity",
-        F.explode(F.sequence(F.col("period") + 1, F.coalesce(F.col("next"), F.col("high") + 1) - 1)).alias("period"),
-        F.col("after").alias("snapshot"),
-        none.alias("log"),
-        "low",
-        "high",
-    )
-    return per.select("entity", "period", "snapshot", "log", "low", "high").unionByName(gaps)
+    gaps = swept.where(F.col("next") > F.col("period") + 1).select("entity", F.explode(F.sequence(F.col("period") + 1, F.col("next") - 1)).alias("period"), F.col("after").alias("snapshot"), none.alias("log"))
+    return swept.select("entity", "period", "snapshot", "log").unionByName(gaps)
 
 
 def join(events: DataFrame, entity: str, day: str, state: DataFrame, out: str, period_days: int = PERIOD_DAYS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``events`` with the value as known at 00:00 UTC of ``day`` (days since 1970) in ``out``; null if none was."""
-    ends = state.agg(F.min("low").alias("__low"), F.max("high").alias("__high")).first()
-    low, high = (ends[0], ends[1]) if ends and ends[0] is not None else (0, 0)
+    """``events`` with the value as known at 00:00 UTC of ``day`` (days since 1970) in ``out``; null if none was.
+
+    Before the first period of its entity nothing is known; an event after the last takes that.
+    """
+    reach = state.groupBy(F.col("entity").alias("__r")).agg(F.min("period").alias("__low"), F.max("period").alias("__high"))
     right = state.select(F.col("entity").alias("__e"), F.col("period").alias("__p"), F.col("snapshot").alias("__snapshot"), F.col("log").alias("__log"))
-    right = broadcast_within(right, broadcast_rows)
-    at = F.least(F.greatest(F.floor(F.col(day) / period_days).cast("long"), F.lit(low)), F.lit(high))
+    reach, right = (broadcast_within(d, broadcast_rows, BROADCAST_SIZE) for d in (reach, right))
+    now = F.floor(F.col(day) / period_days).cast("long")
+    at = F.when(now >= F.col("__low"), F.least(now, F.col("__high")))
     done = F.filter("__log", lambda c: c["day"] <= F.col(day))
     value = F.when(F.size(done) > 0, F.element_at(done, -1)["value"]["v"]).otherwise(F.col("__snapshot"))
-    return events.join(right, (F.col(entity) == F.col("__e")) & (at == F.col("__p")), "left").select(*events.columns, value.alias(out))
-
-
-def known_state(facts: DataFrame, period_days: int = PERIOD_DAYS) -> DataFrame:
-    return snapshots(steps(facts), period_days)
+    placed = events.join(reach, F.col(entity) == F.col("__r"), "left").withColumn("__at", at)
+    return placed.join(right, (F.col(entity) == F.col("__e")) & (F.col("__at") == F.col("__p")), "left").select(*events.columns, value.alias(out))
 
 
 def found(pairs: DataFrame, membership: DataFrame, coalitie: DataFrame, fractie: DataFrame) -> DataFrame:
@@ -136,8 +161,6 @@ def found(pairs: DataFrame, membership: DataFrame, coalitie: DataFrame, fractie:
     Pairs without persoon_id or with an unreadable datum are no case. Without a known membership
     fractie_id is '' and is_coalition 0, and the right fractie is null. A null is_coalition is wrong.
     """
-    from plenaria.runtime import cut
-
     d = lambda c: F.unix_date(F.to_date(c))
     member = effective(
         membership.select("Id", "Persoon_Id", "Fractie_Id", F.unix_micros("GewijzigdOp").alias("k"), d("Van").alias("a"), d("TotEnMet").alias("z"), F.unix_micros("ApiGewijzigdOp").alias("api")),
@@ -152,7 +175,7 @@ def found(pairs: DataFrame, membership: DataFrame, coalitie: DataFrame, fractie:
     e = e.where(F.col("persoon_id").isNotNull() & F.col("__day").isNotNull())
     e = join(e, "persoon_id", "__day", cut(known_state(member)), "__f")
     e = join(e, "__f", "__day", cut(known_state(part)), "__c")
-    e = e.join(broadcast_within(names, BROADCAST_ROWS), F.col("__f") == F.col("Id"), "left")
+    e = e.join(broadcast_within(names, BROADCAST_ROWS, BROADCAST_SIZE), F.col("__f") == F.col("Id"), "left")
     right = F.coalesce(F.col("__c").cast("int"), F.lit(0))
     wrong = e.where(~F.col("fractie").eqNullSafe(F.col("__afk")) | ~F.col("is_coalition").eqNullSafe(right))
     return wrong.select("pair_id", F.coalesce("__f", F.lit("")).alias("fractie_id"), right.alias("is_coalition")).distinct()

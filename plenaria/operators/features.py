@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenaria.functions.text import length, stance, topic_tokens
@@ -20,6 +20,18 @@ def usable(df: DataFrame, label: str = "vote", labels: tuple[str, ...] = ("Voor"
     return df.where(F.col(label).isin(*labels))
 
 
+def usable_or_all(df: DataFrame, label: str = "vote", labels: tuple[str, ...] = ("Voor", "Tegen", "Niet deelgenomen"), least: int = 100) -> DataFrame:
+    """Rows with one of ``labels``; if there are fewer than ``least``, all rows with any label. The count stops at ``least``."""
+    good = usable(df, label, labels)
+    return good if good.limit(least).count() >= least else df.where(F.col(label).isNotNull())
+
+
+def validation(train: DataFrame, val: DataFrame, order: str, label: str = "vote", least: int = 10, tail: int = 500) -> DataFrame:
+    """The usable rows of ``val``; if there are fewer than ``least``, the last ``tail`` of ``train`` by ``order`` (a top-k, no full sort)."""
+    good = usable(val, label)
+    return good if good.limit(least).count() >= least else usable(train, label).orderBy(F.desc(order)).limit(tail)
+
+
 def majority(df: DataFrame, keys: list[str], value: str, out: str = "majority", default: str | None = None) -> DataFrame:
     """The most frequent value of each group, of equals the smallest; nulls do not count.
 
@@ -135,7 +147,3 @@ def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     A distributed top-n; no full sort.
     """
     return df.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)).limit(n)
-
-
-def running_index(df: DataFrame, group: str, order: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)

@@ -8,7 +8,7 @@ third of all snapshots is spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenaria.functions.ordered import carry
@@ -48,23 +48,26 @@ def change_log(
     return seen.select("entity", F.col("at_us").alias("from_us"), F.inline(F.filter(changes, lambda c: c.isNotNull())))
 
 
-def intervals(log: DataFrame) -> DataFrame:
-    """The change log with ``to_us``, the end of each attribute's own interval (null: still valid)."""
-    w = Window.partitionBy("entity", "attribute").orderBy("from_us")
-    return log.withColumn("to_us", F.lead("from_us").over(w))
+def intervals(log: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
+    """The change log with ``to_us``, the end of each attribute's own interval (null: still valid), by buckets of time."""
+    at = log.withColumn("bucket", F.floor(F.col("from_us") / bucket_us))
+    return carry(at, ["entity", "attribute"], "bucket", ["from_us"], {"to_us": "from_us"}, forward=False, inclusive=False).drop("bucket")
 
 
-def versions(log: DataFrame, attributes: list[str], bucket_us: int = BUCKET_US) -> DataFrame:
-    """Rows (entity, van_us, tot_us, attributes), the combined history; ``tot_us`` is null for the last.
+def versions(spans: DataFrame, attributes: list[str], bucket_us: int = BUCKET_US) -> DataFrame:
+    """Rows (entity, van_us, tot_us, attributes), the combined history of ``intervals``; ``tot_us`` is null for the last.
 
-    Boundaries are the moments at which any attribute changed; values not changed there are carried
-    on; neighbours with equal values become one version.
+    An entity is split at the union of all ends of its attributes' intervals; at each the intervals that hold there are
+    carried on, one that has ended counts no more; neighbours with equal values become one version.
     """
-    wrapped = F.struct(F.col("value").alias("v"))  # so that null is carried as a value
-    at = log.groupBy("entity", "from_us").agg(*[F.max(F.when(F.col("attribute") == a, wrapped)).alias(f"__c_{a}") for a in attributes])
+    held = F.struct(F.col("value").alias("v"), F.coalesce("to_us", F.lit(1 << 62)).alias("until"))  # so that null is carried as a value
+    starts = spans.select("entity", "from_us", "attribute", held.alias("held"))
+    # an interval that another of its attribute follows ends where that begins; only last ones add a boundary of their own
+    at = starts.groupBy("entity", "from_us").agg(*[F.max(F.when(F.col("attribute") == a, F.col("held"))).alias(f"__c_{a}") for a in attributes])
     at = at.withColumn("bucket", F.floor(F.col("from_us") / bucket_us))
     full = carry(at, ["entity"], "bucket", ["from_us"], {f"__s_{a}": f"__c_{a}" for a in attributes})
-    full = full.select("entity", "from_us", "bucket", F.struct(*[F.col(f"__s_{a}")["v"].alias(a) for a in attributes]).alias("state"))
+    now = lambda a: F.when(F.col("from_us") < F.col(f"__s_{a}")["until"], F.col(f"__s_{a}")["v"])
+    full = full.select("entity", "from_us", "bucket", F.struct(*[now(a).alias(a) for a in attributes]).alias("state"))
     full = carry(full, ["entity"], "bucket", ["from_us"], {"before": "state"}, inclusive=False)
     starts = full.where(F.col("before").isNull() | ~F.col("before").eqNullSafe(F.col("state")))
     ends = carry(cut(starts), ["entity"], "bucket", ["from_us"], {"tot_us": "from_us"}, forward=False, inclusive=False)
@@ -82,7 +85,7 @@ def party_versions(fractie: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     rows = rows.select("Id", "__at", "snapshot_id", *attributes)
     one = latest_delivery(rows, ["Id", "__at"], "snapshot_id", list(attributes))
     log = cut(change_log(one, "Id", "__at", attributes, bucket_us))  # rows are changes, not snapshots
-    return versions(log, list(attributes), bucket_us)
+    return versions(intervals(log, bucket_us), list(attributes), bucket_us)
 
 
 def found(fractie: DataFrame) -> DataFrame:

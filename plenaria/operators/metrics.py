@@ -33,6 +33,18 @@ def report(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return per.withColumn("f1", f1).select("label", "precision", "recall", "f1", "support")
 
 
+def full_report(df: DataFrame, truth: str, guess: str) -> DataFrame:
+    """``report`` with the rows 'accuracy' (in f1, as reports print it), 'macro avg' and 'weighted avg'."""
+    r = report(df, truth, guess)
+    names = ("precision", "recall", "f1")
+    n = F.sum("support")
+    macro = r.agg(F.lit("macro avg").alias("label"), *[F.avg(c).alias(c) for c in names], n.alias("support"))
+    weighted = r.agg(F.lit("weighted avg").alias("label"), *[(F.sum(F.col(c) * F.col("support")) / n).alias(c) for c in names], n.alias("support"))
+    none = F.lit(None).cast("double")
+    hit = df.where(F.col(truth).isNotNull()).agg(F.lit("accuracy").alias("label"), none.alias("precision"), none.alias("recall"), F.avg(F.coalesce(F.col(truth) == F.col(guess), F.lit(False)).cast("double")).alias("f1"), F.count("*").alias("support"))
+    return r.unionByName(hit).unionByName(macro).unionByName(weighted)
+
+
 def scores(df: DataFrame, truth: str, guess: str) -> DataFrame:
     """Accuracy, macro f1 and support-weighted f1."""
     r = report(df, truth, guess)
@@ -63,12 +75,28 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return g.withColumn("weight", F.sum("n").over(every) / (F.count("*").over(every) * F.col("n")))
 
 
-def reweighted(sure_of_truth: Column, before: Column, mastered: float = 0.3, learning: float = 1.5, struggling: float = 2.0, memory: float = 0.5) -> Column:
-    """A sample's next weight: by how sure the model is of the true label, smoothed with its weight before."""
-    now = F.when(sure_of_truth > 0.8, mastered).when(sure_of_truth < 0.4, struggling).otherwise(learning)
+def reweighted(correct: Column, sure: Column, before: Column, mastered: float = 0.3, uncertain: float = 1.5, wrong: float = 2.0, memory: float = 0.5) -> Column:
+    """A sample's next weight, before ``normalised``: 1, less if the model is right and sure, more if it is unsure, most if it is wrong;
+    smoothed with the weight before. What is not known to be right is wrong."""
+    right = F.coalesce(correct, F.lit(False))
+    now = F.when(~right, wrong).when(F.coalesce(sure, F.lit(0.0)) < 0.65, uncertain).when(sure > 0.85, mastered).otherwise(1.0)
     return memory * before + (1 - memory) * now
 
 
+def reweight(df: DataFrame, truth: str, guess: str, sure: str, weight: str) -> DataFrame:
+    """``df`` with its ``weight`` renewed by how well each sample is predicted, of mean 1."""
+    w = reweighted(F.col(truth) == F.col(guess), F.col(sure), F.col(weight))
+    return normalised(df.withColumn(weight, w), weight)
+
+
+def difficulty(df: DataFrame, truth: str, guess: str, sure: str, high: float = 0.8) -> DataFrame:
+    """(stand, n): how many samples are mastered (right and surer than ``high``), still learning (right) and struggling (wrong or unknown)."""
+    right = F.coalesce(F.col(truth) == F.col(guess), F.lit(False))
+    stand = F.when(~right, "struggling").when(F.col(sure) > high, "mastered").otherwise("learning")
+    counted = df.agg(*[F.count_if(stand == k).alias(k) for k in ("mastered", "learning", "struggling")])
+    return counted.select(F.inline(F.array(*[F.struct(F.lit(k).alias("stand"), F.col(k).cast("long").alias("n")) for k in ("mastered", "learning", "struggling")])))
+
+
 def normalised(df: DataFrame, weight: str) -> DataFrame:
     """``weight`` divided by its mean over all rows, so that the weights keep their sum; all zero stays zero."""
     mean = df.agg(F.avg(weight).alias("__mean"))

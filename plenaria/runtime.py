@@ -100,9 +100,10 @@ def bounded(df: DataFrame, rows: int, what: str) -> list[Row]:
     return got
 
 
-def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (shuffled join).
+def broadcast_within(df: DataFrame, rows: int, size: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` characters as JSON, else as it is (shuffled join).
 
     The count stops after ``rows + 1`` rows, so it costs nothing on a large table.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df

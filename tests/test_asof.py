@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from plenaria.operators import asof
 
 DAY = 86_400_000_000
@@ -68,3 +70,43 @@ def test_found_on_empty_tables(spark):
     assert asof.found(*empty).count() == 0
     one = spark.createDataFrame([(1, "p", "FF", 0, "2010-01-15", "z")], PAIRS)
     assert [tuple(r) for r in asof.found(one, *empty[1:]).collect()] == [(1, "", 0)]
+
+
+def test_a_filler_date_makes_no_snapshots(spark):
+    """An end in 9999 is open; one far year adds the periods of its own entity only."""
+    facts = [(f"e{k}", None, "x", k * DAY, 0, 9_000, k) for k in range(60)]
+    state = lambda rows: asof.known_state(asof.effective(spark.createDataFrame(rows, FACTS), "entity", None, "value", "known_us", "start", "finish", ["seq"]))
+    plain = state(facts).count()
+    assert state([*facts, ("e0", None, "y", DAY, 10, 2_932_896, 99)]).count() <= 2 * plain
+    late = state([*facts, ("e0", None, "y", DAY, 2_932_800, None, 99), ("e1", None, "y", 2_932_800 * DAY, 10, None, 99)])
+    assert late.count() == plain
+    e = spark.createDataFrame([("e0", 8_999), ("e0", 9_001), ("e0", 2_932_896)], "who string, day long")
+    assert [r.out for r in asof.join(e, "who", "day", state([*facts, ("e0", None, "y", DAY, 10, 2_932_896, 99)]), "out").orderBy("day").collect()] == ["y", "y", "y"]
+
+
+def test_spans_cover_exactly(spark):
+    pairs = [(a, b) for a in range(0, 40) for b in range(a, 70, 3)]
+    got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", asof._spans(F.col("a"), F.col("b")).alias("s")).collect()
+    for r in got:
+        held = [x for s in r.s for x in range(s.node << s.level, (s.node + 1) << s.level)]
+        assert sorted(held) == list(range(r.a, r.b)) and len(r.s) <= 2 * 8
+
+
+def test_plans_before_they_are_cut_have_no_multiplying_join(spark, monkeypatch):
+    plans = []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(asof, "cut", keep)
+    empty = [spark.createDataFrame([], s) for s in (PAIRS, MEMBER, COAL, "Id string, Afkorting string")]
+    plans.append(asof.found(*empty)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4 and not [p for p in plans if "CartesianProduct" in p or "NestedLoop" in p]
+
+
+def test_nothing_is_known_before_a_first_change_at_a_period_start(spark):
+    facts = [("a", "1", "x", 9 * DAY, 10, None, 1)]
+    f = asof.effective(spark.createDataFrame(facts, FACTS), "entity", "version", "value", "known_us", "start", "finish", ["seq"])
+    e = spark.createDataFrame([(d, "a", d) for d in (-3, 9, 10, 400)], "id int, who string, day long")
+    assert {r.id: r.out for r in asof.join(e, "who", "day", asof.known_state(f, 5), "out", 5).collect()} == {-3: None, 9: None, 10: "x", 400: "x"}

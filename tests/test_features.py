@@ -93,8 +93,6 @@ def test_bands_and_weights(spark):
     got = {r.band: (r.n, r.accuracy, r.aandeel) for r in metrics.confidence_bands(df, "p", "t", "g").collect()}
     assert got == {"hoog": (1, 0.0, 0.25), "midden": (2, 1.0, 0.5), "laag": (1, 1.0, 0.25)}
     assert {r.t: round(r.weight, 4) for r in metrics.class_weights(df, "t").collect()} == {"a": 0.8333, "b": 1.25}
-    w = df.select(metrics.reweighted(F.col("p"), F.lit(1.0)).alias("w")).collect()
-    assert [r.w for r in w][:2] == [1.25, 0.65]
     e = features.confident(df, F.col("p"), F.lit("s"), F.lit("b"), 0.8)
     assert [r.ensemble for r in e.collect()] == ["s", "s", "b", "b", "b"]
 
@@ -109,3 +107,26 @@ def test_reports(spark):
     assert [tuple(r) for r in reports.decades(d, "d").collect()] == [(1850, 1), (1990, 1)]
     s = spark.createDataFrame([("x", 0.5), ("w", 0.7), ("v", 0.7)], "m string, acc double")
     assert tuple(reports.best_of(s, "m", "acc").first()) == ("v", 0.7)
+
+
+def test_weights_difficulty_and_averages(spark):
+    """Mastered 0.3, plain 1, unsure 1.5, wrong 2 (also if sure or unsure), each halfway from the weight before, then by their mean."""
+    rows = [("a", "a", 0.9), ("a", "a", 0.85), ("a", "a", 0.65), ("a", "a", 0.64), ("a", "b", 0.99), ("a", "b", 0.1), ("a", None, 0.9), ("a", "a", None)]
+    df = spark.createDataFrame([(i, *r, 1.0) for i, r in enumerate(rows)], "i int, t string, g string, p double, w double")
+    plain = [0.65, 1.0, 1.0, 1.25, 1.5, 1.5, 1.5, 1.25]
+    got = [r.w for r in metrics.reweight(df, "t", "g", "p", "w").orderBy("i").collect()]
+    assert [round(x, 9) for x in got] == [round(x * 8 / sum(plain), 9) for x in plain]
+    assert {r.stand: r.n for r in metrics.difficulty(df, "t", "g", "p").collect()} == {"mastered": 2, "learning": 3, "struggling": 3}
+    assert {r.stand: r.n for r in metrics.difficulty(df.limit(0), "t", "g", "p").collect()} == {"mastered": 0, "learning": 0, "struggling": 0}
+    two = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "b")], "t string, g string")
+    r = {x.label: x for x in metrics.full_report(two, "t", "g").collect()}
+    assert set(r) == {"a", "b", "accuracy", "macro avg", "weighted avg"} and r["accuracy"].f1 == 0.75 and r["macro avg"].support == 4
+    assert round(r["macro avg"].precision, 4) == round((1 + 2 / 3) / 2, 4) and round(r["weighted avg"].recall, 4) == 0.75
+
+
+def test_fallbacks(spark):
+    d = spark.createDataFrame([(i, "Voor" if i % 3 else None) for i in range(30)], "i int, vote string")
+    assert features.validation(d, d.limit(0), "i", tail=5).count() == 5 and {r.i for r in features.validation(d, d.limit(0), "i", tail=2).collect()} == {29, 28}
+    assert features.validation(d.limit(0), d, "i").count() == 20 and features.validation(d, d.where("i < 4"), "i", tail=50).count() == 20
+    assert features.usable_or_all(d, labels=("Tegen",)).count() == 20 and features.usable_or_all(d, labels=("Voor",), least=20).count() == 20
+    assert features.usable_or_all(d.limit(0)).count() == 0

@@ -15,8 +15,8 @@ def test_scorer_gives_a_vector_of_768_for_each_text(spark):
 
 
 def test_weights_are_normalised_by_their_mean(spark):
-    d = spark.createDataFrame([(0.9, 1.0), (0.6, 1.0), (0.1, 3.0)], "p double, before double")
-    w = metrics.normalised(d.withColumn("w", metrics.reweighted(F.col("p"), F.col("before"))), "w").collect()
+    d = spark.createDataFrame([(True, 0.9, 1.0), (True, 0.6, 1.0), (False, 0.1, 3.0)], "ok boolean, p double, before double")
+    w = metrics.normalised(d.withColumn("w", metrics.reweighted(F.col("ok"), F.col("p"), F.col("before"))), "w").collect()
     plain = [0.65, 1.25, 2.5]
     assert sorted(round(r.w, 9) for r in w) == [round(x * 3 / sum(plain), 9) for x in plain]
     assert d.columns == [c for c in w[0].asDict() if c != "w"]
