@@ -56,6 +56,26 @@ def carry(
     )
 
 
+def carry_both(df: DataFrame, keys: list[str], bucket: str, order: list[str], source: str, before: str, after: str) -> DataFrame:
+    """Adds the last non-null ``source`` at or before a row and the first one at or after it: two ``carry`` with one shuffle of the rows."""
+    near, far, picks = [], [], []
+    for out, forward in ((before, True), (after, False)):
+        by = [F.col(c).asc() if forward else F.col(c).desc() for c in order]
+        near.append(F.last(source, ignorenulls=True).over(Window.partitionBy(*keys, bucket).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)).alias(f"__n_{out}"))
+        by = F.col("__k_b").asc() if forward else F.col("__k_b").desc()
+        here = Window.partitionBy(*[f"__k_{i}" for i in range(len(keys))]).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        far.append(F.last(f"__b_{out}", ignorenulls=True).over(here).alias(f"__f_{out}"))
+        pick = F.max_by if forward else F.min_by
+        picks.append(pick(F.col(source), F.when(F.col(source).isNotNull(), F.struct(*order))).alias(f"__b_{out}"))
+    ks = [F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)]
+    total = df.groupBy(*ks, F.col(bucket).alias("__k_b")).agg(*picks).select(*[f"__k_{i}" for i in range(len(keys))], "__k_b", *far)
+    same: Column = F.col(bucket) == F.col("__k_b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{i}"))
+    joined = df.select("*", *near).join(total, same, "left")
+    return joined.select(*df.columns, *[F.coalesce(f"__n_{o}", f"__f_{o}").alias(o) for o in (before, after)])
+
+
 def index(df: DataFrame, keys: list[str], bucket: str, order: list[str], out: str, total: str | None = None) -> DataFrame:
     """Adds the place of a row within its key, from 0, and in ``total`` the rows of the key.
 

@@ -60,7 +60,11 @@ def linked_pairs(speeches: DataFrame, tables: dict[str, DataFrame], train_to: in
 
 
 def speech_dataset(spark: SparkSession, xml: str, entities: str, out: str) -> str:
-    """Transcripts and clean entities to pairs, one folder for each split; stages that are there are not made again."""
+    """Transcripts and clean entities to pairs, one folder for each split; stages that are there are not made again.
+
+    Transcripts that cannot be parsed are named in ``_mislukt`` with the reason.
+    """
+    files.staged(spark, f"{out}/_mislukt", lambda: transcripts.failures(transcripts.documents(spark, xml)))
     speeches = files.staged(spark, f"{out}/speeches", lambda: speech_table(spark, xml))
     tables = {n: clean.with_missing(spark.read.parquet(f"{entities}/{n}.parquet"), columns) for n, columns in NEEDED.items()}
     return files.save(linked_pairs(speeches, tables), f"{out.rstrip('/')}/pairs", by=["split"])

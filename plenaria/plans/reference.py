@@ -448,11 +448,6 @@ def class_weights(t):
     return metrics.class_weights(t("stemming"), "Soort").withColumn("weight", F.round("weight", 6))
 
 
-@query()
-def macro_scores(t):
-    return metrics.scores(_scored(t), "vote", "baseline")
-
-
 # ---- text -------------------------------------------------------------------------------------
 
 
@@ -504,11 +499,6 @@ def text_pipeline(t):
     return t("speeches").select("speech_id", "speech_text").distinct().select("speech_id", F.md5(T.flattened(F.col("speech_text"))).alias("schoon"))
 
 
-@query()
-def word_tokens(t):
-    return t("documents").select("doc_id", F.size(T.word_tokens(F.col("text"))).alias("woorden"))
-
-
 @query("SELECT DISTINCT pair_id, md5(left(coalesce(agendapunt_onderwerp, ''), 300) || ' </s> ' || left(coalesce(besluit_tekst, ''), 200) || ' </s> ' || left(coalesce(speech_text, ''), 1500)) AS invoer FROM speech_vote_pairs")
 def model_inputs(t):
     p = t("speech_vote_pairs").select("pair_id", F.md5(T.model_input(F.col("agendapunt_onderwerp"), F.col("besluit_tekst"), F.col("speech_text"))).alias("invoer"))

@@ -10,9 +10,9 @@ from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 
-def read_raw(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """A raw entity: a JSON array of flat records. A missing file raises; an empty one has no rows."""
-    r = spark.read.option("multiLine", True)
+def read_raw(spark: SparkSession, path: str, schema: StructType | None = None, lines: bool = False) -> DataFrame:
+    """A raw entity: a JSON array of flat records, or one record on each of the ``lines``. A missing file raises; an empty one has no rows."""
+    r = spark.read.option("multiLine", not lines)
     return (r.schema(schema) if schema else r).json(path)
 
 

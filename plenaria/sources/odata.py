@@ -10,6 +10,8 @@ import urllib.request
 from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -90,6 +92,30 @@ def download(base: str, entity: str, ids: list[str], folder: str, suffix: str =
     return out
 
 
+def fetched(ids: DataFrame, base: str, entity: str, suffix: str = ".xml", timeout: float = 60.0, opener=urllib.request.urlopen) -> DataFrame:
+    """(path, content, reason) of the resource of each ``Id``, fetched in the tasks that hold the ids.
+
+    Content is null and the reason says why where there is none or fetching failed; a failure stops nothing. Written as a
+    table on any file system it is what ``transcripts.parse`` reads, and a run that broke off goes on with
+    the ids that are not in it.
+    """
+    root = base.rstrip("/")
+
+    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in parts:
+            rows = []
+            for i in d["Id"]:
+                try:
+                    with opener(f"{root}/{entity}({i})/resource", timeout=timeout) as r:
+                        body = r.read()
+                    rows.append((f"{i}{suffix}", body or None, None if body else "empty"))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((f"{i}{suffix}", None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "content", "reason"], dtype=object)
+
+    return ids.select("Id").where("Id is not null").distinct().mapInPandas(of, "path string, content binary, reason string")
+
+
 class _Entity(InputPartition):
     def __init__(self, name: str):
         self.name = name

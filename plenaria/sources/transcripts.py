@@ -120,6 +120,28 @@ def parse(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(of, SCHEMA)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Speeches of every ``*.xml`` under ``folder``."""
-    return parse(spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(folder))
+def failures(files: DataFrame) -> DataFrame:
+    """(path, reason) of the files that are no well-formed document; ``parse`` gives no rows for them."""
+
+    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in parts:
+            bad = []
+            for path, content in zip(d["path"], d["content"]):
+                try:
+                    ET.fromstring(bytes(content))
+                except ET.ParseError as e:
+                    bad.append((path, str(e)))
+            yield pd.DataFrame(bad, columns=["path", "reason"], dtype=object)
+
+    return files.select("path", "content").mapInPandas(of, "path string, reason string")
+
+
+def documents(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
+    """(path, content) of every ``*.xml`` under ``folder``, or of the first ``limit`` by path; the paths are ranked without reading the files."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(folder).select("path", "content")
+    return found if limit is None else found.join(found.select("path").orderBy("path").limit(limit), "path", "left_semi")
+
+
+def read(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
+    """Speeches of the transcripts under ``folder``. Malformed files give none; ``failures(documents(...))`` names them."""
+    return parse(documents(spark, folder, limit))

@@ -25,3 +25,16 @@ def test_carry_and_index_equal_a_plain_loop(spark, rows):
         assert back[k, t] == (after[0] if after else None)
         assert place[k, t] == ([x[1] for x in own].index(t), len(own))
     assert len(forward) == len(strict) == len(back) == len(place) == len(unique)
+
+
+def test_carry_both_is_two_carries(spark):
+    import random
+
+    from plenaria.functions.ordered import carry, carry_both
+
+    g = random.Random(4)
+    rows = [(g.choice(["a", "b", None]), i // 7, i, g.choice([None, i])) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, b int, t int, v int")
+    two = carry(carry(df, ["k"], "b", ["t"], {"p": "v"}), ["k"], "b", ["t"], {"n": "v"}, forward=False)
+    assert sorted(map(str, carry_both(df, ["k"], "b", ["t"], "v", "p", "n").collect())) == sorted(map(str, two.collect()))
+    assert carry_both(df.limit(0), ["k"], "b", ["t"], "v", "p", "n").count() == 0

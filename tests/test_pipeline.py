@@ -83,6 +83,17 @@ def test_download(tmp_path):
     assert len([u for u in asked if "(a)" in u]) == 1
 
 
+def test_fetching_in_tasks(spark):
+    def opener(url, timeout):
+        if "(weg)" in url:
+            raise OSError("weg")
+        return BytesIO(b"" if "(leeg)" in url else b"<v/>")
+
+    ids = spark.createDataFrame([("a",), ("a",), ("weg",), ("leeg",), (None,)], "Id string")
+    got = {r.path: (None if r.content is None else bytes(r.content), r.reason) for r in odata.fetched(ids, "http://x/", "Verslag", opener=opener).collect()}
+    assert got == {"a.xml": (b"<v/>", None), "weg.xml": (None, "weg"), "leeg.xml": (None, "empty")}
+
+
 def test_settings(tmp_path):
     (tmp_path / "c.json").write_text('{"entities": ["Zaak"]}')
     assert catalog.load_config(str(tmp_path / "c.json")) == {"entities": ["Zaak"]}

@@ -3,10 +3,10 @@
 import pytest
 from compare import connection, same
 
-from plenaria.plans import problems, reference
+from plenaria.plans import more, problems, reference
 
-ALL = {**reference.QUERIES, **problems.QUERIES}
-SQL = {**reference.SQL, **problems.SQL}
+ALL = {**reference.QUERIES, **more.QUERIES, **problems.QUERIES}
+SQL = {**reference.SQL, **more.SQL, **problems.SQL}
 
 
 @pytest.fixture(scope="module")
@@ -19,13 +19,13 @@ def test_equals_sql(spark, data, con, name):
     same(ALL[name](spark, data), con, SQL[name])
 
 
-@pytest.mark.parametrize("name", ["macro_scores", "word_tokens", "embedding_clusters", "topic_clusters"])
+@pytest.mark.parametrize("name", ["embedding_clusters", "topic_clusters"])
 def test_runs_without_sql(spark, data, name):
     assert ALL[name](spark, data).count() > 0
 
 
 def test_every_query_has_sql_or_is_listed():
-    rest = {"macro_scores", "word_tokens", "model_logistic", "model_stacked", "topic_clusters", "embedding_clusters"}
+    rest = {"model_logistic", "model_stacked", "topic_clusters", "embedding_clusters"}
     assert set(ALL) - set(SQL) == rest
 
 

@@ -175,3 +175,12 @@ def test_sizes_and_views_through_the_file_system(spark, tmp_path):
     spark.range(100_000).write.parquet(str(tmp_path / "Getal.parquet"))
     assert files.size_mb(f"file://{tmp_path}/Getal.parquet") > 0 and files.size_mb(str(tmp_path / "weg")) == 0.0
     assert catalog.register(spark, f"file://{tmp_path}") == ["Getal"] and spark.sql("select count(*) n from Getal").first().n == 100_000
+
+
+def test_malformed_transcripts_are_named_and_files_limited(spark, tmp_path):
+    for name, text in (("a", "<v><vergadering"), ("b", "<v/>"), ("c", "geen xml")):
+        (tmp_path / f"{name}.xml").write_text(text)
+    bad = transcripts.failures(transcripts.documents(spark, str(tmp_path))).collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in bad) == ["a.xml", "c.xml"] and all(r.reason for r in bad)
+    assert [r.path.rsplit("/", 1)[1] for r in transcripts.documents(spark, str(tmp_path), 2).orderBy("path").collect()] == ["a.xml", "b.xml"]
+    assert transcripts.read(spark, str(tmp_path), 2).count() == 0
