@@ -53,8 +53,9 @@ def plan(texts: DataFrame, targets: DataFrame) -> list[Plan]:
     Targets of sources without texts cannot be reached; the others keep their proportions. Sources
     without target take no part. Null or non-positive targets and caps count as none.
     """
-    have = {r["source"]: int(r["n"]) for r in bounded(texts.groupBy("source").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(targets.select("source").distinct()), "source"), MAX_SOURCES, "the list of sources")}
     want = bounded(targets.groupBy("source").agg(F.max("doel_aandeel").alias("t"), F.max("max_herhaling").alias("m")), MAX_SOURCES, "the list of targets")
+    # within the bound that has just been looked at
+    have = {r["source"]: int(r["n"]) for r in texts.groupBy("source").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(targets.select("source").distinct()), "source").collect()}
     rows = [(r["source"], float(r["t"] or 0), max(int(r["m"] or 0), 0), have.get(r["source"], 0)) for r in want if r["source"] is not None]
     live = [r for r in rows if r[1] > 0 and r[2] > 0 and r[3] > 0]
     total = sum(r[1] for r in live)

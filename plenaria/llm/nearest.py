@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenaria.functions.ordered import carry
+from plenaria.functions.ordered import carry_both
 from plenaria.operators.instants import denoted
 from plenaria.runtime import cut
 
@@ -38,9 +38,8 @@ def nearest(
         "__e", "__t", "__left", F.floor(F.col("__t") / bucket_us).alias("__b"),
         F.when(F.col("__id").isNotNull(), F.struct(F.col("__t").alias("t"), F.col("__id").alias("id"))).alias("__r"),
     )
-    moments = cut(moments)  # distinct moments, which both carries read
-    moments = carry(moments, ["__e"], "__b", ["__t"], {"__last": "__r"})
-    moments = carry(moments, ["__e"], "__b", ["__t"], {"__next": "__r"}, forward=False)
+    # distinct moments, written once: rows and bucket summaries read them
+    moments = carry_both(cut(moments), ["__e"], "__b", ["__t"], "__r", "__last", "__next")
 
     def off(side: str) -> Column:
         return F.abs(F.col(side)["t"] - F.col("__t"))
