@@ -303,17 +303,20 @@ def _keys(*parts: Column) -> Column:
     return F.xxhash64(*parts)
 
 
-def candidates(b: DataFrame, z: DataFrame, frequency: DataFrame, hot: int = HOT) -> DataFrame:
+def ranked(z: DataFrame, frequency: DataFrame) -> DataFrame:
+    """Proposals (z, kind, year) with their words from the rarest on (ws), and those of them that make keys (lead)."""
+    ws = z.select("z", F.explode("subject").alias("w")).join(frequency, "w").groupBy("z").agg(F.array_sort(F.collect_list(F.struct("n", "w")))["w"].alias("ws"))
+    return z.select("z", "kind", "year").join(ws, "z").withColumn("lead", F.slice("ws", 1, _allowed_missing(F.col("ws")) + 2))
+
+
+def candidates(b: DataFrame, z: DataFrame, zs: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs (b, z) that can have a subject truth above 0, agreeing or unsaid kinds and a possible year, with the truth of each rule's body.
 
     A decision may lack m of a proposal's words, so it has two of any m + 2 of them: the m + 2 rarest make
     the keys, by pairs, with kind and year. A key of more than ``hot`` proposals takes a third word, of which
-    the decision has one of any m + 1 others. No pair is lost and none emitted that shares no key.
+    the decision has one of any m + 1 others. No pair is lost and none emitted that shares no key. ``zs`` is ``ranked``;
+    decisions have their mended words in ``tokens``, and in ``lead`` at least those that are in the lead of a proposal.
     """
-    ranked = z.select("z", F.explode("subject").alias("w")).join(frequency, "w").groupBy("z").agg(F.array_sort(F.collect_list(F.struct("n", "w")))["w"].alias("ws"))
-    lead = F.slice("ws", 1, _allowed_missing(F.col("ws")) + 2)
-    zs = cut(z.select("z", "kind", "year").join(ranked, "z").withColumn("lead", lead))
-    leads = zs.select(F.explode("lead").alias("w")).distinct()
 
     def two(ws: Column) -> Column:
         """All pairs of sorted words, and each word alone."""
@@ -329,9 +332,8 @@ def candidates(b: DataFrame, z: DataFrame, frequency: DataFrame, hot: int = HOT)
     zk = zs.select("z", "ws", F.explode(pair).alias("p"), kinds.alias("kinds"), years.alias("years"))
     zk = zk.select("z", "ws", "p", F.explode("kinds").alias("k"), "years").select("z", "ws", "p", "k", F.explode("years").alias("y"))
     zk = zk.select("z", "ws", "p", _keys(F.col("p")["x"], F.col("p")["y"], F.col("k"), F.col("y")).alias("key"))
-    own = b.select("b", "kind", "year", F.explode("tokens").alias("w")).join(leads, "w").groupBy("b", "kind", "year").agg(F.collect_set("w").alias("ws"))
     at = F.when(F.col("year").isNull(), F.array(F.lit(-2))).otherwise(F.array(F.col("year"), F.col("year") - 1, F.lit(-1)))
-    bk = own.select("b", F.coalesce("kind", F.lit("?")).alias("k"), F.explode(at).alias("y"), "ws").select("b", "k", "y", F.explode(two(F.col("ws"))).alias("p"))
+    bk = b.select("b", F.coalesce("kind", F.lit("?")).alias("k"), F.explode(at).alias("y"), "lead").select("b", "k", "y", F.explode(two(F.col("lead"))).alias("p"))
     bk = bk.select("b", "p", _keys(F.col("p")["x"], F.col("p")["y"], F.col("k"), F.col("y")).alias("key"))
     crowded = cut(zk.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("crowded")))
     keyed = zk.select("z", "key")
@@ -343,7 +345,7 @@ def candidates(b: DataFrame, z: DataFrame, frequency: DataFrame, hot: int = HOT)
         more = bk.join(crowded, "key").join(b.select("b", "tokens"), "b").select("b", F.explode("tokens").alias("w"), "p", "key").where((F.col("w") != F.col("p")["x"]) & (F.col("w") != F.col("p")["y"]))
         bk = bk.select("b", "key").unionByName(more.select("b", _keys(F.col("key"), F.col("w")).alias("key")))
     pairs = bk.select("b", "key").join(keyed, "key").select("b", "z").distinct()
-    full = pairs.join(b.withColumnsRenamed({"kind": "bk", "proposer": "bp", "title": "bt", "year": "by"}), "b").join(z, "z")
+    full = pairs.join(b.drop("lead").withColumnsRenamed({"kind": "bk", "proposer": "bp", "title": "bt", "year": "by"}), "b").join(z, "z")
     share = F.size(F.array_intersect("subject", "tokens")) / F.size("subject")
     year = F.when(F.col("by").isNull() | F.col("year").isNull(), UNSAID_YEAR).when(F.col("year").isin(F.col("by"), F.col("by") - 1), 1.0).otherwise(0.0)
     full = full.withColumns({"subject_truth": F.greatest(F.lit(0.0), 4 * share - 3), "kind_truth": agrees(F.col("bk"), F.col("kind")), "year_truth": year})
@@ -528,9 +530,12 @@ def link(pairs: DataFrame, zaak: DataFrame, most: int = MAX_WORDS) -> DataFrame:
     zs = cut(proposals(zaak).groupBy("kind", "proposer", "subject", "year").agg(F.min("zaak_id").alias("z"), F.min("title").alias("title")))
     frequency = cut(zs.select(F.explode("subject").alias("w")).groupBy("w").agg(F.count("*").alias("n")))
     bs = cut(decisions(pairs))
+    order = cut(ranked(zs, frequency))
+    leads = order.select(F.explode("lead").alias("right")).distinct().withColumn("leads", F.lit(True))
     typed = bs.select("b", F.explode(F.array_distinct("typed")).alias("w"))
-    right = typed.join(mended(typed, frequency.select("w"), most), "w").where(~F.col("right").isin(*FORM)).groupBy("b").agg(F.collect_set("right").alias("tokens"))
-    edges = candidates(cut(bs.join(right, "b")), zs, frequency).withColumn("rules", rules())
+    meant = mended(typed, frequency.select("w"), most).where(~F.col("right").isin(*FORM)).join(leads, "right", "left")
+    said = typed.join(meant, "w").groupBy("b").agg(F.collect_set("right").alias("tokens"), F.collect_set(F.when(F.col("leads"), F.col("right"))).alias("lead"))
+    edges = candidates(cut(bs.join(said, "b")), zs, order).withColumn("rules", rules())
     solved = solve(edges.select("b", "z", "g", "rules"))
     best = solved.where(F.col("y") >= ACCEPT).groupBy("b").agg(F.min(F.struct((-F.round("y", 4)).alias("y"), "z")).alias("m"))
     return best.select(F.col("b").alias("besluit_id"), F.col("m")["z"].alias("zaak_id"), (-F.col("m")["y"]).alias("confidence"))
