@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField
 
 from plenaria.functions.text import cleaned
 
@@ -32,24 +32,37 @@ def clean_strings(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: cleaned(F.col(_q(f.name))) for f in df.schema if isinstance(f.dataType, StringType)})
 
 
+def _is_moment(f: StructField) -> bool:
+    return isinstance(f.dataType, StringType) and MOMENT_NAMES.search(f.name) is not None
+
+
+def _seen(df: DataFrame) -> tuple[int, dict[str, int], set[str]]:
+    """By one aggregate: rows, values of each column, and the string columns with a moment's name whose every value can be read."""
+    names = [f.name for f in df.schema if _is_moment(f)]
+    bad = [F.count_if(F.col(_q(c)).isNotNull() & F.col(_q(c)).try_cast("timestamp").isNull()).alias(f"b{k}") for k, c in enumerate(names)]
+    got = df.agg(F.count("*").alias("n"), *[F.count(F.col(_q(c))).alias(f"c{k}") for k, c in enumerate(df.columns)], *bad).first()
+    return got["n"], {c: got[f"c{k}"] for k, c in enumerate(df.columns)}, {c for k, c in enumerate(names) if got[f"b{k}"] == 0}
+
+
+def _typed(df: DataFrame, readable: set[str]) -> DataFrame:
+    return df.withColumns({c: F.col(_q(c)).try_cast("timestamp") for c in df.columns if c in readable})
+
+
+def _filled(df: DataFrame, rows: int, values: dict[str, int]) -> DataFrame:
+    return df if rows == 0 else df.select(*[F.col(_q(c)) for c in df.columns if values[c] > 0])
+
+
 def moments(df: DataFrame) -> DataFrame:
     """String columns with a moment's name become timestamps if every value can be read; else they stay.
 
     One aggregate over all such columns decides; an all-null column counts as readable.
     """
-    names = [f.name for f in df.schema if isinstance(f.dataType, StringType) and MOMENT_NAMES.search(f.name)]
-    if not names:
-        return df
-    bad = df.agg(*[F.count_if(F.col(_q(c)).isNotNull() & F.col(_q(c)).try_cast("timestamp").isNull()).alias(str(k)) for k, c in enumerate(names)]).first()
-    return df.withColumns({c: F.col(_q(c)).try_cast("timestamp") for k, c in enumerate(names) if bad[k] == 0})
+    return _typed(df, _seen(df)[2]) if any(_is_moment(f) for f in df.schema) else df
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
     """Columns without any value dropped, found by one aggregate; a table without rows keeps its columns."""
-    if not df.columns:
-        return df
-    seen = df.agg(F.count("*"), *[F.count(F.col(_q(c))).alias(f"c{k}") for k, c in enumerate(df.columns)]).first()
-    return df if seen[0] == 0 else df.select(*[F.col(_q(c)) for k, c in enumerate(df.columns) if seen[k + 1] > 0])
+    return _filled(df, *_seen(df)[:2]) if df.columns else df
 
 
 def with_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -58,13 +71,16 @@ def with_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def preprocess(df: DataFrame, strings: bool = True, dates: bool = True, empty: bool = True) -> DataFrame:
-    """The whole cleaning in its order."""
+    """The whole cleaning in its order; one pass over the table decides on types and empty columns together."""
     df = df.transform(drop_deleted_mark).transform(standard_ids)
     if strings:
         df = df.transform(clean_strings)
-    if dates:
-        df = df.transform(moments)
-    return df.transform(drop_empty_columns) if empty else df
+    if not df.columns or not (dates or empty):
+        return df
+    rows, values, readable = _seen(df)
+    # a column is typed only if all its values stay, so what is empty does not change
+    df = _typed(df, readable) if dates else df
+    return _filled(df, rows, values) if empty else df
 
 
 def profile(df: DataFrame) -> DataFrame:

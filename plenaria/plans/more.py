@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenaria.functions import text as T
-from plenaria.operators import features, metrics, reports
+from plenaria.operators import clean, features, link, metrics, reports
 from plenaria.plans import pipeline
-from plenaria.plans.reference import _BASE, _SPLIT, _TRAIN, _coalition, _scored, _split, majority_sql
+from plenaria.plans.reference import _BASE, _PARLIAMENT, _SPLIT, _TRAIN, _coalition, _scored, _split, majority_sql, parliament, tokens_sql
 from plenaria.plans.reference import SQL as BASE_SQL
-from plenaria.runtime import checkpoint_dir, table
+from plenaria.runtime import checkpoint_dir, cut, table
 from plenaria.sources import files, transcripts
 
 QUERIES: dict[str, Callable] = {}
@@ -114,6 +114,52 @@ def word_tokens(t):
     return t("documents").select("doc_id", F.size(T.word_tokens(F.col("text"))).alias("woorden"))
 
 
+# ---- cleaning ---------------------------------------------------------------------------------
+
+
+@query("SELECT lower(trim(Id)) AS Id, Nummer, Geslacht FROM persoon")
+def without_deleted_mark(t):
+    """The mark of deletion is dropped by cleaning."""
+    p = t("persoon").select("Id", "Nummer", "Geslacht").withColumn("Verwijderd", F.lit(False))
+    return clean.preprocess(p)
+
+
+@query("SELECT doc_id, soort FROM documents WHERE soort IS DISTINCT FROM (SELECT min(soort) FROM documents)")
+def without_status(t):
+    """Rows whose status is not an unwanted one, null included."""
+    d = t("documents").select("doc_id", "soort")
+    return clean.without_status(d, "soort", d.agg(F.min("soort")).first()[0])
+
+
+@query("SELECT DISTINCT pair_id, coalesce(lower(trim(CAST(vote_vergissing AS VARCHAR))) = 'true', false) AS vergissing FROM speech_vote_pairs")
+def truth_from_text(t):
+    return t("speech_vote_pairs").select("pair_id", T.truth(F.col("vote_vergissing").cast("string")).alias("vergissing")).distinct()
+
+
+@query("SELECT source, round(sum(n_chars) / 1048576, 2) AS mb FROM documents GROUP BY source")
+def text_megabytes(t):
+    return t("documents").groupBy("source").agg(T.megabytes(F.sum("n_chars")).alias("mb"))
+
+
+@query("""SELECT DISTINCT pair_id, coalesce(fractie, 'Onbekend') AS fractie, round(coalesce(speech_position, 0.5), 6) AS speech_position, CAST(coalesce(speech_length, 0) AS DOUBLE) AS speech_length,
+coalesce(besluit_tekst, '') AS besluit_tekst FROM speech_vote_pairs""")
+def default_fills(t):
+    """What stands in for missing model inputs."""
+    from plenaria.ml import models
+
+    d = t("speech_vote_pairs").select("pair_id", "fractie", "speech_position", "speech_length", "besluit_tekst")
+    return rounded(models.filled(d, ["fractie"], ["speech_position", "speech_length"], ["besluit_tekst"]), "speech_position").distinct()
+
+
+@query(f"""WITH {_PARLIAMENT} SELECT count(*) AS n, count(DISTINCT ord) AS speeches FROM s JOIN decided d ON d.dag = s.dag OR d.dag = s.dag + 1
+WHERE len(list_intersect({tokens_sql('concat_ws(chr(32), s.ao, s.ah)')}, {tokens_sql("coalesce(nullif(d.topic, ''), d.tekst)")})) >= 1""")
+def topic_match_one(t):
+    """All speeches with the decisions of their day and the next that share a token."""
+    p = parliament(t)
+    decided = cut(link.decided_on(p["activities"], p["agenda"], p["decisions"], p["votes"]))
+    return link.by_topic(p["speeches"], decided, "dag", least=1).agg(F.count("*").alias("n"), F.count_distinct("ord").alias("speeches"))
+
+
 # ---- report panels ----------------------------------------------------------------------------
 
 # Short forms of destinations and ministries.
