@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import datetime
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -77,31 +78,48 @@ def _spans(low: Column, high: Column) -> Column:
 LEVELS = 22
 
 
-def _sweep(period_days: int):
-    """The fact known last on every day of one entity and period: its state at the start, the changes after it, and the state at the end."""
-
-    def of(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        entity, period = key
-        start = period * period_days
-        first = [max(x, start) for x in g["first_day"]]
-        last = [min(x, start + period_days - 1) for x in g["last_day"]]
-        known, tie = g["known_us"].tolist(), g["tie"].tolist()
-        value = g["value"].astype(object).where(g["value"].notna(), None).tolist()
-        rank = {t: n for n, t in enumerate(sorted(set(tie)))}
-        waiting = sorted((k for k in range(len(g)) if first[k] <= last[k]), key=lambda k: -first[k])
-        heap: list = []
-        out: list[tuple] = []
-        for day in sorted({start, *(first[k] for k in waiting), *(last[k] + 1 for k in waiting if last[k] + 1 < start + period_days)}):
-            while waiting and first[waiting[-1]] <= day:
-                k = waiting.pop()
-                heapq.heappush(heap, (-known[k], -rank[tie[k]], k))
-            while heap and last[heap[0][2]] < day:
-                heapq.heappop(heap)
-            now = value[heap[0][2]] if heap else None
-            if not out or now != out[-1][1]:
-                out.append((day, now))
-        log = [{"day": d, "value": {"v": v}} for d, v in out[1:]]
-        return pd.DataFrame({"entity": [entity], "period": [period], "snapshot": [out[0][1]], "log": [log], "after": [out[-1][1]]})
+def _sweep(start: int, end: int, facts: list[tuple]) -> tuple[str | None, list[dict], str | None]:
+    """State at day ``start``, changes after it and state on day ``end`` of the fact known last; facts (first, last, known, tie, value)."""
+    held = [(max(f, start), min(l, end), k, t, v) for f, l, k, t, v in facts if max(f, start) <= min(l, end)]
+    rank = {t: n for n, t in enumerate(sorted({x[3] for x in held}))}
+    waiting = sorted(held, key=lambda x: -x[0])
+    heap: list = []
+    out: list[tuple] = []
+    for day in sorted({start, *(x[0] for x in held), *(x[1] + 1 for x in held if x[1] < end)}):
+        while waiting and waiting[-1][0] <= day:
+            _, last, known, tie, value = waiting.pop()
+            heapq.heappush(heap, (-known, -rank[tie], len(waiting), last, value))
+        while heap and heap[0][3] < day:
+            heapq.heappop(heap)
+        now = heap[0][4] if heap else None
+        if not out or now != out[-1][1]:
+            out.append((day, now))
+    return out[0][1], [{"day": d, "value": {"v": v}} for d, v in out[1:]], out[-1][1]
+
+
+def _swept(period_days: int):
+    """Sweeps the periods of entities out of rows sorted by them; holds one period at a time."""
+    names = ["entity", "period", "snapshot", "log", "after"]
+
+    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, facts = None, []
+
+        def done() -> tuple:
+            entity, period = key
+            return (entity, period, *_sweep(period * period_days, (period + 1) * period_days - 1, facts))
+
+        for d in parts:
+            rows = []
+            d = d.astype(object).where(d.notna(), None)
+            for entity, period, *fact in d[["entity", "period", "first_day", "last_day", "known_us", "tie", "value"]].itertuples(index=False):
+                if (entity, period) != key:
+                    if key is not None:
+                        rows.append(done())
+                    key, facts = (entity, period), []
+                facts.append(tuple(fact))
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+        if key is not None:
+            yield pd.DataFrame([done()], columns=names, dtype=object)
 
     return of
 
@@ -130,7 +148,8 @@ def known_state(facts: DataFrame, period_days: int = PERIOD_DAYS) -> DataFrame:
     cover = above.join(spans, ["entity", "level", "node"]).groupBy("entity", "period").agg(F.max("said").alias("said"))
     columns = ["entity", "period", "known_us", "tie", "value", "first_day", "last_day"]
     whole = cover.select("entity", "period", "said.*", (F.col("period") * period_days).alias("first_day"), F.lit(FOREVER).cast("long").alias("last_day"))
-    swept = local.select(*columns).unionByName(whole.select(*columns)).groupBy("entity", "period").applyInPandas(_sweep(period_days), _STATE + ", after string")
+    changing = local.select(*columns).unionByName(whole.select(*columns))
+    swept = changing.repartition("entity", "period").sortWithinPartitions("entity", "period").mapInPandas(_swept(period_days), _STATE + ", after string")
     # at most one row for each period of an entity
     swept = swept.withColumn("next", F.lead("period").over(Window.partitionBy("entity").orderBy("period")))
     swept = cut(swept)
@@ -173,8 +192,8 @@ def found(pairs: DataFrame, membership: DataFrame, coalitie: DataFrame, fractie:
     names = fractie.where(F.col("Id").isNotNull()).groupBy("Id").agg(F.min("Afkorting").alias("__afk"))
     e = pairs.select("pair_id", "persoon_id", "fractie", "is_coalition", F.unix_date(F.col("datum").try_cast("date")).cast("long").alias("__day"))
     e = e.where(F.col("persoon_id").isNotNull() & F.col("__day").isNotNull())
-    e = join(e, "persoon_id", "__day", cut(known_state(member)), "__f")
-    e = join(e, "__f", "__day", cut(known_state(part)), "__c")
+    e = join(e, "persoon_id", "__day", known_state(member), "__f")
+    e = join(e, "__f", "__day", known_state(part), "__c")
     e = e.join(broadcast_within(names, BROADCAST_ROWS, BROADCAST_SIZE), F.col("__f") == F.col("Id"), "left")
     right = F.coalesce(F.col("__c").cast("int"), F.lit(0))
     wrong = e.where(~F.col("fractie").eqNullSafe(F.col("__afk")) | ~F.col("is_coalition").eqNullSafe(right))
