@@ -383,11 +383,11 @@ def topological(nodes: list[tuple], weights: tuple[int, int, int] = WEIGHTS) ->
 
 
 def _arrow(schema: str) -> pa.Schema:
-    return pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[c.split()[1]]) for c in schema.split(", ")])
+    return pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]]) for c in schema.split(", ")])
 
 
 _ORDERED = "verslag_id string, chunk long, place long, volgnr long, speech_id long, seq int, who string, run long, body string"
-_RUNS = "verslag_id string, chunk long, run long, start_volgnr long, who string"
+_RUNS = "verslag_id string, chunk long, start_volgnr long, who string, opens boolean, closes boolean"
 
 
 def _decide(who: str | None, chair: str | None, present: set[str]) -> str | None:
@@ -421,8 +421,11 @@ def _order(weights: tuple[int, int, int], runs: bool):
             last = who
             if not runs:
                 out.append({c: r[c] for c in ("verslag_id", "chunk", "volgnr", "speech_id", "seq", "body")} | {"place": place, "who": who, "run": run})
-            elif not out or out[-1]["run"] != run:
-                out.append({"verslag_id": r["verslag_id"], "chunk": r["chunk"], "run": run, "start_volgnr": r["volgnr"], "who": who})
+            elif who is not None and (not out or out[-1]["run"] != run):
+                # before the first known speaker of a chunk is who spoke last in an earlier one
+                out.append({"verslag_id": r["verslag_id"], "chunk": r["chunk"], "run": run, "start_volgnr": r["volgnr"], "who": who, "opens": not out, "closes": False})
+        if runs and out:
+            out[-1]["closes"] = True
         return pa.Table.from_pylist(out, schema=schema)
 
     return of
@@ -436,7 +439,7 @@ def people_of(persoon: DataFrame, membership: DataFrame, fractie: DataFrame) ->
 
 
 def ordered(speeches: DataFrame, people: tuple, weights: tuple[int, int, int] = WEIGHTS, runs: bool = False, texts: bool = True) -> DataFrame:
-    """Segments of all transcripts in order: verslag_id, chunk, place, volgnr, seq, speaker, run, body; or only the ``runs`` of one speaker in a chunk.
+    """Segments of all transcripts in order: verslag_id, chunk, place, volgnr, seq, speaker, run, body; or only the ``runs`` of one known speaker in a chunk.
 
     Speaker null: unknown. Rows without text or words give none. A label that may be several persons is the one of
     them who is named in the same transcript, if that is one. What is known of a transcript goes to each of its chunks once.
@@ -452,17 +455,21 @@ def ordered(speeches: DataFrame, people: tuple, weights: tuple[int, int, int] =
 
 
 def turns(runs: DataFrame) -> DataFrame:
-    """``runs`` of known speakers with ``persoon_id`` and whether they begin a turn.
+    """The ``runs`` that begin a turn: verslag_id, start_volgnr, persoon_id.
 
-    Over the borders of chunks the speaker is carried on, so a turn that goes on in the next chunk is one turn.
+    Only the first known run of a chunk can go on with a turn of an earlier one; the speakers that close chunks, one row
+    for each, are carried on to tell. So no more than two rows of a chunk are shuffled again.
     """
-    known = carry(cut(runs), ["verslag_id"], "chunk", ["chunk", "run"], {"persoon_id": "who"})
-    known = known.where("persoon_id is not null")
-    known = carry(known, ["verslag_id"], "chunk", ["chunk", "run"], {"before": "persoon_id"}, inclusive=False)
-    return known.withColumn("begins", ~F.col("before").eqNullSafe(F.col("persoon_id")))
+    runs = cut(runs.select("verslag_id", "chunk", "start_volgnr", F.col("who").alias("persoon_id"), "opens", "closes"))
+    ends = runs.where("closes").select("verslag_id", "chunk", "persoon_id", F.floor(F.col("chunk") / CHUNK).alias("__bucket"))
+    ends = carry(ends, ["verslag_id"], "__bucket", ["chunk"], {"before": "persoon_id"}, inclusive=False)
+    ends = ends.select(F.col("verslag_id").alias("__v"), F.col("chunk").alias("__c"), "before")
+    opening = runs.where("opens").join(ends, F.col("verslag_id").eqNullSafe(F.col("__v")) & (F.col("chunk") == F.col("__c"))).where(~F.col("persoon_id").eqNullSafe(F.col("before")))
+    columns = ["verslag_id", "start_volgnr", "persoon_id"]
+    return runs.where(~F.col("opens")).select(*columns).unionByName(opening.select(*columns))
 
 
 def found(speeches: DataFrame, persoon: DataFrame, membership: DataFrame, fractie: DataFrame, weights: tuple[int, int, int] = WEIGHTS) -> DataFrame:
     """Distinct (verslag_id, start_volgnr, persoon_id) of all turns."""
     t = turns(ordered(speeches, people_of(persoon, membership, fractie), weights, runs=True, texts=False))
-    return t.where("begins").select("verslag_id", F.col("start_volgnr").cast("int").alias("start_volgnr"), "persoon_id").distinct()
+    return t.select("verslag_id", F.col("start_volgnr").cast("int").alias("start_volgnr"), "persoon_id").distinct()
