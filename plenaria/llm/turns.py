@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -137,8 +137,9 @@ class People:
                     most = min(1 if len(s) < 9 else 2, 2 - slip)
                     if slip > 1 or most < 0:
                         continue
-                    near = set().union(*(self.grams.get((infix, s[i : i + 2]), set()) for i in range(len(s) - 1)))
-                    for other in near:
+                    # a slip spoils at most three pairs of letters
+                    shared = Counter(o for i in range(len(s) - 1) for o in self.grams.get((infix, s[i : i + 2]), ()))
+                    for other in [o for o, n in shared.items() if n >= len(s) - 1 - 3 * most and abs(len(o) - len(s)) <= most]:
                         d = distance(s, other, most)
                         if d <= most and d + slip <= best[0]:
                             if d + slip < best[0]:
