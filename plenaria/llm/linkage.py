@@ -277,8 +277,8 @@ def mended(typed: DataFrame, vocabulary: DataFrame, most: int = MAX_WORDS) -> Da
                 yield pd.DataFrame({"w": d["w"], "right": [right(w) for w in d["w"]]}, dtype=object)
 
         # few bytes but much work: spread by number, which adaptive execution leaves as it is
-        tasks = int(strange.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return known.unionByName(strange.repartition(tasks, "w").mapInPandas(near, "w string, right string").where("right is not null"))
+        spread_out = strange.repartition(strange.sparkSession.sparkContext.defaultParallelism, F.xxhash64("w"))
+        return known.unionByName(spread_out.mapInPandas(near, "w string, right string").where("right is not null"))
 
     def traced(letters: int | None):
         def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
